@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from . import problems
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**problems.QUERIES}
+SQL: dict[str, str] = {**problems.SQL}
 FLAGSHIP = "candidates_type_name"
