@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import canonical_guid, is_guid, stripped
+from ..operators.hierarchies import hierarchy
 from ..operators.history import attribute_history
 from ..operators.orphans import orphan_references, presence_intervals
 from ..operators.snapshots import relative_path, snapshot_changes
+from .runtime import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +69,40 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def prefab_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(node, parent)`` of every prefab by its latest record."""
+    latest = (
+        table(spark, sf_dir, "manifest_assets")
+        .select(canonical_guid(F.col("guid")).alias("node"), "generated_at", "record_id", F.lower("asset_path").endswith(".prefab").alias("prefab"), "dependencies")
+        .where(is_guid(F.col("node")))
+        .groupBy("node").agg(F.max("prefab").alias("prefab"), F.max(F.struct("generated_at", "record_id", "dependencies")).alias("last"))
+        .where("prefab").select("node", F.array_distinct(F.transform("last.dependencies", canonical_guid)).alias("named"))
+    )
+    latest = Scratch(spark, "prefabs").write(latest)
+    based = latest.select("node", F.explode("named").alias("parent")).where("parent <> node")
+    based = based.join(latest.select(F.col("node").alias("p")), F.col("parent") == F.col("p"), "left_semi")
+    return latest.select("node", F.lit(None).cast("string").alias("parent")).unionByName(based)
+
+
+def prefab_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hierarchy(prefab_links(spark, sf_dir))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topmost ancestor and depth of every prefab with a parent; depth -1 at circles."""
+    return prefab_tree(spark, sf_dir).where("parent is not null").select(
+        F.col("node").alias("guid"), F.col("root").alias("root_guid"), F.col("depth").cast("int").alias("tree_depth")
+    )
+
+
+def p3_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefab's full path, depth, root and interval of descendants."""
+    return prefab_tree(spark, sf_dir).select(
+        F.col("node").alias("guid"), F.col("parent").alias("parent_guid"), F.col("root").alias("root_guid"), F.col("depth").alias("tree_depth"),
+        F.array_join("path", "/").alias("full_path"), "first", "last", "n_descendants", "on_circle",
+    )
+
+
 def edge_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every version of every semantic edge's rationale."""
     edges = table(spark, sf_dir, "semantic_edges").select(
@@ -97,6 +133,8 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     "p2_report": p2_report,
+    "p3_found": p3_found,
+    "p3_paths": p3_paths,
     "p4_found": p4_found,
     "p5_found": p5_found,
 }
@@ -130,6 +168,22 @@ SQL = {
     "p2_found": _P2 + "SELECT * FROM found",
     "p2_report": _P2
     + "SELECT ref_table, ref_month, count(*) AS n_references, count(DISTINCT record_id) AS n_records, count(DISTINCT ref_key) AS n_keys FROM found GROUP BY 1, 2",
+    "p3_found": r"""
+WITH RECURSIVE recs AS (
+  SELECT regexp_replace(lower(guid), '[\s{}()\-]', '', 'g') AS g, generated_at, record_id, asset_path, dependencies FROM manifest_assets),
+prefabs AS (
+  SELECT g, arg_max(dependencies, (generated_at, record_id)) AS named FROM recs WHERE regexp_matches(g, '^[0-9a-f]{32}$')
+  GROUP BY g HAVING bool_or(lower(asset_path) LIKE '%.prefab')),
+named AS (SELECT g, regexp_replace(lower(unnest(named)), '[\s{}()\-]', '', 'g') AS parent FROM prefabs),
+links AS MATERIALIZED (SELECT g, min(parent) AS parent FROM named WHERE parent <> g AND parent IN (SELECT g FROM prefabs) GROUP BY g),
+climb(g, top, steps, seen, looped) AS (
+  SELECT g, parent, 1, [g, parent], false FROM links
+  UNION ALL
+  SELECT c.g, l.parent, c.steps + 1, list_append(c.seen, l.parent), list_contains(c.seen, l.parent)
+  FROM climb c JOIN links l ON c.top = l.g WHERE NOT c.looped)
+SELECT g AS guid, CASE WHEN looped THEN list_min(list_slice(seen, list_position(seen, top), len(seen))) ELSE top END AS root_guid,
+       CASE WHEN looped THEN -1 ELSE steps END AS tree_depth
+FROM climb WHERE looped OR top NOT IN (SELECT g FROM links)""",
     "p4_found": r"""
 WITH held AS (
   SELECT from_key, upper(trim(rel)) AS rel, to_key, coalesce(valid_from, created_at) AS s, invalid_at AS x, created_at, record_id,
