@@ -26,7 +26,7 @@ from ..plans.runtime import Scratch, ship
 #: Rows of one snapshot in a bucket, about.
 BUCKET_ROWS = 8192
 #: Cells for each row of a bucket, round by round; a table peels up to about 0.8 differing pairs a cell.
-CELLS_PER_ROW = (0.35, 1.0, 3.0)
+CELLS_PER_ROW = (0.6, 1.5, 3.0)
 #: Delivered snapshots that may be broadcast; beyond it Spark joins by shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -41,7 +41,8 @@ def relative_path(path: Column) -> Column:
     slashed = F.regexp_replace(F.translate(path, "\\", "/"), r"/(\./)*/+|/(\./)+", "/")
     bare = F.regexp_replace(slashed, r"^(\./)+", "")
     inside = F.regexp_extract(bare, r"^(?:[A-Za-z]:)?/.*?((?:Assets|Packages)/.*)$", 1)
-    return F.when(F.length(inside) > 0, inside).otherwise(bare)
+    plain = path.startswith("Assets/") & ~path.contains("\\") & ~path.contains("//") & ~path.contains("/./")
+    return F.when(plain, path).when(F.length(inside) > 0, inside).otherwise(bare)
 
 
 def _positions(h: np.ndarray, third: int) -> list[np.ndarray]:
@@ -195,11 +196,10 @@ def snapshot_changes(
         found = scratch.write(left.groupBy("bucket", "target").applyInPandas(_peeler(third), _RESULT))
         results.append(found.where("kind <> 'failed'"))
         failed = found.where("kind = 'failed'").select("bucket", "target")
-        if failed.isEmpty():
+        if not (number := failed.count()):
             break
-        again = failed.withColumnRenamed("bucket", "fb").withColumnRenamed("target", "ft")
-        sides = (F.col("bucket") == F.col("fb")) & ((F.col("has_prev") & (F.col("version") == F.col("ft"))) | (F.col("next_no") == F.col("ft")))
-        rest = keyed.join(again, sides, "left_semi")
+        again = failed.select("bucket").distinct()
+        rest = keyed.join(F.broadcast(again) if number <= BROADCAST_ROWS else again, "bucket", "left_semi")
     else:
         # Tables that never peeled: compare their rows one by one.
         plain = (
