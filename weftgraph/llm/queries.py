@@ -5,7 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions.keys import simple_name
+from .clusters import Clusters
 from .tokens import encode_corpus
 
 
@@ -13,14 +16,59 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def community_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(community_id, names)``: the simple names in the keys, or else the type names that the summary lists."""
+    rows = _table(spark, sf_dir, "communities").select(
+        "community_id", "summary",
+        F.array_distinct(F.filter(F.transform(F.coalesce("member_keys", F.array().cast("array<string>")), simple_name), lambda x: x != "")).alias("names"),
+    )
+    named, bare = rows.where("size(names) > 0").select("community_id", "names"), rows.where("size(names) = 0")
+    words = bare.select("community_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("summary"), F.lit(r"[a-z_][a-z0-9_]*"), F.lit(0)))).alias("word"))
+    types = _table(spark, sf_dir, "type_nodes").select(F.lower("type_name").alias("word")).distinct()
+    listed = words.join(types, "word").groupBy("community_id").agg(F.array_sort(F.collect_set("word")).alias("names"))
+    return named.unionByName(listed)
+
+
+def community_clusters(spark: SparkSession, sf_dir: str) -> Clusters:
+    return Clusters(community_members(spark, sf_dir), "community_id", "names")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of community records in one cluster."""
+    return community_clusters(spark, sf_dir).pairs().select(F.col("a").alias("community_a"), F.col("b").alias("community_b"))
+
+
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each group of similar community records with its size and most typical members."""
+    return community_clusters(spark, sf_dir).described()
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids by byte_bpe_50k, without special tokens."""
     return encode_corpus(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_clusters": p1_clusters,
     "p6_ids": p6_ids,
 }
 
 #: Queries that SQL can express on whole tables.
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p1_found": r"""
+WITH RECURSIVE keyed AS (
+  SELECT community_id, any_value(summary) AS summary,
+         any_value(list_distinct(list_filter(list_transform(coalesce(member_keys, []), lambda k: lower(trim(regexp_replace(coalesce(k, ''), '^.*(\.|::)', '')))), lambda x: x <> ''))) AS names
+  FROM communities GROUP BY community_id),
+words AS (SELECT community_id, unnest(regexp_extract_all(lower(summary), '[a-z_][a-z0-9_]*')) AS name FROM keyed WHERE len(names) = 0),
+members AS MATERIALIZED (
+  SELECT community_id, unnest(names) AS name FROM keyed
+  UNION SELECT community_id, name FROM words WHERE name IN (SELECT lower(type_name) FROM type_nodes)),
+sizes AS (SELECT community_id, count(*) AS n FROM members GROUP BY 1),
+shared AS (SELECT a.community_id AS a, b.community_id AS b, count(*) AS n FROM members a JOIN members b USING (name) WHERE a.community_id <> b.community_id GROUP BY 1, 2),
+links AS MATERIALIZED (
+  SELECT a, b FROM shared s JOIN sizes x ON s.a = x.community_id JOIN sizes y ON s.b = y.community_id WHERE 2 * s.n >= x.n + y.n - s.n),
+reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
+SELECT a AS community_a, b AS community_b FROM reached WHERE a < b""",
+}
