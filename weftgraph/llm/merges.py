@@ -51,6 +51,8 @@ class MergeTable:
         self._keys = np.full(1 << bits, np.uint64(2**64 - 1))
         self._values = np.full(1 << bits, NONE, dtype=np.int32)
         self._place(keys, np.array(merged, dtype=np.int32))
+        #: Ranks of two single bytes, at 256 * left + right.
+        self.byte_pairs = self.ranks(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256))
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * _MIX) >> self._shift).astype(np.int64)
@@ -86,10 +88,11 @@ class MergeTable:
         return out.reshape(shape)
 
 
-def _merge_rows(ids: np.ndarray, table: MergeTable):
-    """Merge equally long words; yields (row numbers, their final parts)."""
-    rows = np.arange(len(ids))
-    ranks = table.ranks(ids[:, :-1], ids[:, 1:])
+def _merge_rows(words: np.ndarray, table: MergeTable):
+    """Merge equally long words, a row of bytes each; yields (row numbers, their final parts)."""
+    rows = np.arange(len(words))
+    ids = table.byte_ids[words]
+    ranks = table.byte_pairs[words[:, :-1].astype(np.uint16) << 8 | words[:, 1:]]
     while ids.shape[1] > 1:
         at = ranks.argmin(axis=1)
         least = ranks[np.arange(len(rows)), at]
@@ -175,8 +178,8 @@ def merge_words(words: pa.Array, table: MergeTable) -> tuple[np.ndarray, np.ndar
         step = max(1, CELLS // length)
         for lo in range(0, len(rows), step):
             some = rows[lo : lo + step]
-            ids = table.byte_ids[data[offsets[some][:, None] + np.arange(length)]]
-            found += [(some[r], parts) for r, parts in _merge_rows(ids, table)]
+            spelt = data[offsets[some][:, None] + np.arange(length)]
+            found += [(some[r], parts) for r, parts in _merge_rows(spelt, table)]
     for row in order[cuts[SHORT] :]:
         found.append((np.array([row]), _merge_long(data[offsets[row] : offsets[row + 1]], table)[None, :]))
     counts = np.zeros(n, np.int64)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import simple_name
 from .clusters import Clusters
+from .packing import ALL, NOTHING, TURNS, limits, pack_texts
+from .pieces import split_texts
 from .tokens import encode_corpus
 
 
@@ -48,10 +50,43 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(_table(spark, sf_dir, "documents"))
 
 
+def _budgets(spark: SparkSession, sf_dir: str) -> list:
+    """The settings in token_budgets, one row for each; all name one tokenizer here."""
+    return _table(spark, sf_dir, "token_budgets").where("tokenizer = 'byte_bpe_50k'").orderBy("budget_id").collect()
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's container under each budget; agents' turns bear loss, queries don't, other texts do."""
+    loss = F.when(F.col("doc_type") == "query", NOTHING).when(F.col("doc_type") == "curation_talk", TURNS).otherwise(ALL)
+    budgets = {b.budget_id: limits(b.capacity) for b in _budgets(spark, sf_dir)}
+    return pack_texts(_table(spark, sf_dir, "documents"), budgets, loss)
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full each budget's containers are."""
+    full = p7_containers(spark, sf_dir).groupBy("budget_id", "container_id").agg(
+        F.sum("n_tokens").alias("n"), F.count("*").alias("segments"), F.sum("loss_tokens").alias("loss")
+    )
+    sizes = F.create_map(*(F.lit(x) for b in _budgets(spark, sf_dir) for x in (b.budget_id, b.capacity)))
+    return full.groupBy("budget_id").agg(
+        F.count("*").alias("containers"), F.sum("n").alias("tokens"), F.max("n").alias("most_tokens"), F.max("segments").alias("most_segments"),
+        F.max("loss").alias("most_loss"), F.avg(F.col("n") / sizes[F.col("budget_id")]).alias("mean_fill"),
+    )
+
+
+def p8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document above each budget's capacity."""
+    budgets = [(b.budget_id, b.capacity, b.overlap) for b in _budgets(spark, sf_dir)]
+    return split_texts(_table(spark, sf_dir, "documents"), budgets)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_clusters": p1_clusters,
     "p6_ids": p6_ids,
+    "p7_containers": p7_containers,
+    "p7_fill": p7_fill,
+    "p8_pieces": p8_pieces,
 }
 
 #: Queries that SQL can express on whole tables.

@@ -9,6 +9,7 @@ plan has no shuffle, and its work is in proportion to the text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from copy import copy
 from pathlib import Path
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.runtime import ship
-from .merges import merge_words, table_of
+from .merges import MergeTable, merge_words, table_of
 
 #: White space as the tokenizers' own libraries define it (Unicode White_Space).
 _SPACE = r"\t-\r\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -57,22 +58,54 @@ def spans(lists: pa.ListArray) -> Iterator[tuple[int, int]]:
         lo = hi
 
 
-def _encode_batches(batches: Iterator[pa.RecordBatch], content: bytes) -> Iterator[pa.RecordBatch]:
+class Words:
+    """The words of some rows: ``which`` of the distinct words each is, and their ids."""
+
+    def __init__(self, lists: pa.ListArray, table: MergeTable):
+        encoded = lists.flatten().dictionary_encode()
+        #: Distinct words, and for each occurrence its number among them.
+        self.distinct, self.which = encoded.dictionary, np.asarray(encoded.indices)
+        self.ids, self.starts = merge_words(self.distinct, table)
+        #: Tokens of each distinct word.
+        self.counts = np.diff(self.starts)
+        #: First occurrence of each row, and one past the last.
+        self.rows = np.asarray(lists.offsets).astype(np.int64) - lists.offsets[0].as_py()
+        #: What users of the words derive from the distinct ones, once for all rows.
+        self.derived: dict = {}
+
+    def of_rows(self, lo: int, hi: int) -> Words:
+        """The same for some of the rows; the distinct words stay shared."""
+        some = copy(self)
+        first, last = self.rows[lo], self.rows[hi]
+        some.which, some.rows = self.which[first:last], self.rows[lo : hi + 1] - first
+        return some
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``flat[starts[w]:starts[w + 1]]`` of each w, one after the other, and their offsets."""
+    counts = np.diff(starts)[which]
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    return flat[np.repeat(starts[which] - ends[:-1], counts) + np.arange(ends[-1])], ends
+
+
+def word_batches(batches: Iterator[pa.RecordBatch], content: bytes) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """Pieces of the batches of bounded size, each with its words (the last column).
+
+    The distinct words of a whole batch are merged once.
+    """
     table = table_of(content)
     for batch in batches:
-        names, words = batch.schema.names[:-1], batch.column(batch.num_columns - 1)
-        for lo, hi in spans(words):
-            lists = words.slice(lo, hi - lo)
-            encoded = lists.flatten().dictionary_encode()
-            which = np.asarray(encoded.indices)
-            flat, starts = merge_words(encoded.dictionary, table)
-            counts = np.diff(starts)[which]
-            ends = np.concatenate(([0], np.cumsum(counts)))
-            ids = flat[np.repeat(starts[which] - ends[:-1], counts) + np.arange(ends[-1])]
-            rows = np.asarray(lists.offsets) - lists.offsets[0].as_py()
-            column = pa.ListArray.from_arrays(pa.array(ends[rows].astype(np.int32)), pa.array(ids))
-            kept = batch.slice(lo, hi - lo)
-            yield pa.RecordBatch.from_arrays([*(kept.column(i) for i in range(len(names))), column], [*names, "ids"])
+        lists = batch.column(batch.num_columns - 1)
+        words = Words(lists, table)
+        for lo, hi in spans(lists):
+            yield batch.slice(lo, hi - lo), words.of_rows(lo, hi)
+
+
+def _encode_batches(batches: Iterator[pa.RecordBatch], content: bytes) -> Iterator[pa.RecordBatch]:
+    for rows, words in word_batches(batches, content):
+        ids, ends = gather(words.ids, words.starts, words.which)
+        column = pa.ListArray.from_arrays(pa.array(ends[words.rows].astype(np.int32)), pa.array(ids))
+        yield pa.RecordBatch.from_arrays([rows.column(0), column], [rows.schema.names[0], "ids"])
 
 
 def encode_corpus(
