@@ -50,18 +50,26 @@ def _separate(links: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]
     return state.where("done").select("node", "parent", "size"), state.where("not done").select("node", "parent")
 
 
-def _circles(rest: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(node, root, on_circle)`` of the nodes on or below circles; root is the circle's smallest node."""
-    state = scratch.write(rest.select("node", F.col("parent").alias("to"), F.col("node").alias("least")))
-    number, step = state.count(), 1
-    while step < number:
+def _circles(rest: DataFrame, names: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(node, root, on_circle)`` of the nodes on or below circles; root is the smallest name on the circle.
+
+    Doubling ends when neither the nodes arrived at nor the smallest names seen
+    on the way change: then all have arrived and every circle is seen whole.
+    """
+    state = scratch.write(rest.join(names, "node").select("node", F.col("parent").alias("to"), F.col("name").alias("least"), F.lit(True).alias("moved")))
+    places = state.select("to").distinct().count()
+    while places:
         targets = state.select(F.col("node").alias("via"), F.col("to").alias("to2"), F.col("least").alias("least2"))
+        least = F.least("least", "least2")
         after = scratch.write(
-            state.join(targets, F.col("to") == F.col("via")).select("node", F.col("to2").alias("to"), F.least("least", "least2").alias("least"))
+            state.join(targets, F.col("to") == F.col("via")).select("node", F.col("to2").alias("to"), least.alias("least"), (least != F.col("least")).alias("moved"))
         )
         scratch.drop(state)
-        state, step = after, step * 2
-    # After as many steps as there are nodes every node has arrived on its circle.
+        state = after
+        now, moved = state.agg(F.countDistinct("to"), F.count_if("moved")).first()
+        if now == places and not moved:
+            break
+        places = now
     arrived = state.select(F.col("to").alias("place")).distinct()
     least = state.join(arrived, F.col("node") == F.col("place"), "left_semi").select(F.col("node").alias("place"), F.col("least").alias("root"))
     return (
@@ -70,6 +78,17 @@ def _circles(rest: DataFrame, scratch: Scratch) -> DataFrame:
     )
 
 
+def _numbered(known: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The links by 64-bit hashes of the names, and ``(node, name)``; the hash is changed until no two names share one."""
+    for seed in range(8):
+        key = lambda c: F.xxhash64(F.lit(seed), c)  # noqa: E731, B023
+        names = scratch.write(known.select(key("node").alias("node"), F.when(F.col("parent").isNotNull(), key("parent")).alias("parent"), F.col("node").alias("name")))
+        if names.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            return names.select("node", "parent"), names.select("node", "name")
+        scratch.drop(names)
+    raise RuntimeError("eight hashes in a row collide")
+
+
 def _chains(heavy: DataFrame, scratch: Scratch) -> DataFrame:
     """``(node, chain, pos)``: the top of each node's chain and the steps from it; ``up`` is null at a top."""
     state = scratch.write(
@@ -124,13 +143,14 @@ def hierarchy(links: DataFrame, node: str = "node", parent: str = "parent") -> D
     given = links.select(F.col(node).alias("node"), F.col(parent).alias("parent")).where("node is not null")
     known = given.groupBy("node").agg(F.min("parent").alias("parent"))
     above = given.where("parent is not null").select(F.col("parent").alias("node"), F.lit(None).cast(given.schema["parent"].dataType).alias("parent"))
-    known = scratch.write(known.unionByName(above).groupBy("node").agg(F.min("parent").alias("parent")))
+    known = known.unionByName(above).groupBy("node").agg(F.min("parent").alias("parent"))
 
-    trees, rest = _separate(known, scratch)
-    circles = _circles(rest, scratch)
+    numbered, names = _numbered(known, scratch)
+    trees, rest = _separate(numbered, scratch)
+    circles = _circles(rest, names, scratch)
 
     best = trees.where("parent is not null").groupBy("parent").agg(F.min(F.struct((-F.col("size")).alias("s"), "node")).alias("best"))
-    best = best.select(F.col("best.node").alias("heavy"), F.col("parent").alias("of"), (-F.col("best.s")).alias("heavy_size"))
+    best = scratch.write(best.select(F.col("best.node").alias("heavy"), F.col("parent").alias("of"), (-F.col("best.s")).alias("heavy_size")))
     ups = trees.join(best, F.col("node") == F.col("heavy"), "left").select("node", F.col("of").alias("up"))
     placed = _chains(ups, scratch)
 
@@ -140,13 +160,13 @@ def hierarchy(links: DataFrame, node: str = "node", parent: str = "parent") -> D
     hangs = light.join(placed.select(F.col("node").alias("p"), F.col("chain").alias("above"), F.col("pos").alias("above_pos")), F.col("parent") == F.col("p")).select(
         F.col("node").alias("chain"), "above", "above_pos", (F.col("above_pos") + 1 + F.col("heavy_size") + F.col("before")).alias("behind")
     )
-    members = placed.join(trees.select(F.col("node").alias("n"), "size"), F.col("node") == F.col("n")).groupBy("chain").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "node", "size"))).alias("held")
+    members = placed.join(trees.select("node", "size"), "node").join(names, "node").groupBy("chain").agg(
+        F.sort_array(F.collect_list(F.struct("pos", F.col("name").alias("node"), "size"))).alias("held")
     )
     chains = scratch.write(members.join(hangs, "chain", "left"))
 
     level = scratch.write(
-        chains.where("above is null").select("chain", "held", F.array().cast(f"array<{chains.schema['chain'].dataType.simpleString()}>").alias("prefix"), F.lit(0).cast("long").alias("start"))
+        chains.where("above is null").select("chain", "held", F.array().cast(f"array<{given.schema['node'].dataType.simpleString()}>").alias("prefix"), F.lit(0).cast("long").alias("start"))
     )
     levels = [level]
     while True:
@@ -173,8 +193,8 @@ def hierarchy(links: DataFrame, node: str = "node", parent: str = "parent") -> D
         (F.size("path") - 1).alias("depth"), "path", "first", (F.col("first") + F.col("size") - 1).alias("last"),
         (F.col("size") - 1).alias("n_descendants"), F.lit(False).alias("on_circle"),
     )
-    looped = circles.join(rest.select(F.col("node").alias("r"), "parent"), F.col("node") == F.col("r")).select(
-        "node", "parent", "root", F.lit(-1).alias("depth"), "on_circle"
+    looped = circles.join(rest, "node").join(names, "node").join(names.select(F.col("node").alias("parent"), F.col("name").alias("above")), "parent").select(
+        F.col("name").alias("node"), F.col("above").alias("parent"), "root", F.lit(-1).alias("depth"), "on_circle"
     )
     return whole.unionByName(looped, allowMissingColumns=True)
 
