@@ -63,16 +63,20 @@ def orphan_references(
     if match not in MATCHES:
         raise ValueError(f"match must be one of {MATCHES}")
     references = references.where(F.col(at).isNotNull())
-    period = [F.col(valid_from).alias("_from"), F.col(valid_to).alias("_to")]
+    own = "_"
+    while any(c.startswith(own) for c in references.columns):  # names that clash with none of the references' own
+        own += "_"
+    period = [F.col(valid_from).alias(f"{own}from"), F.col(valid_to).alias(f"{own}to")]
 
     def masked(mask: tuple[bool, ...]) -> DataFrame:
         held = [c for c, null in zip(on, mask) if not null]
         rows = references.where(reduce(Column.__and__, [F.col(c).isNull() if null else F.col(c).isNotNull() for c, null in zip(on, mask)]))
         if any(mask) and match == "full":
             return rows
-        keys = targets.select(*(F.col(c).alias(f"_key{i}") for i, c in enumerate(held)), *period).dropna(subset=[f"_key{i}" for i in range(len(held))])
-        same = [F.col(c) == F.col(f"_key{i}") for i, c in enumerate(held)]
-        then = (F.col("_from").isNull() | (F.col("_from") <= F.col(at))) & (F.col("_to").isNull() | (F.col("_to") > F.col(at)))
+        keys = targets.select(*(F.col(c).alias(f"{own}{i}") for i, c in enumerate(held)), *period).dropna(subset=[f"{own}{i}" for i in range(len(held))])
+        same = [F.col(c) == F.col(f"{own}{i}") for i, c in enumerate(held)]
+        begun = F.col(f"{own}from").isNull() | (F.col(f"{own}from") <= F.col(at))
+        then = begun & (F.col(f"{own}to").isNull() | (F.col(f"{own}to") > F.col(at)))
         return rows.join(keys, reduce(Column.__and__, [*same, then]), "left_anti")
 
     masks = [m for m in product((False, True), repeat=len(on)) if not all(m) and (match != "simple" or not any(m))]
