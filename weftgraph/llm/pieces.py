@@ -52,9 +52,9 @@ def _features(words: Words, table: MergeTable) -> dict[str, np.ndarray]:
     starts = np.arange(n + 1)
     long = np.flatnonzero(words.counts > LONG_WORD)
     if len(long):
-        parts = [_parts(distinct[int(w)].as_py(), int(words.counts[w])) for w in long]
+        parts, part_tokens = _parts([distinct[int(w)].as_py() for w in long], words.counts[long].tolist(), table)
         texts = [x for some in parts for x in some]
-        part_sizes = np.stack([np.diff(merge_words(pa.array(texts), table)[1]), [len(x) for x in texts], [len(x.encode()) for x in texts]])
+        part_sizes = np.stack([part_tokens, [len(x) for x in texts], [len(x.encode()) for x in texts]])
         count = np.ones(n, np.int64)
         count[long] = [len(some) for some in parts]
         starts = np.concatenate(([0], np.cumsum(count)))
@@ -127,16 +127,34 @@ class Units:
         return level, blank
 
 
-def _parts(word: str, tokens: int) -> list[str]:
-    """The word in parts of about PART tokens, never beginning with a quote (it could start a contraction)."""
-    step = max(1, len(word) * PART // tokens)
-    cuts = [0]
-    for cut in range(step, len(word), step):
-        while cut < len(word) and word[cut] == "'":
-            cut += 1
-        if cuts[-1] < cut < len(word):
-            cuts.append(cut)
-    return [word[a:b] for a, b in zip(cuts, [*cuts[1:], len(word)])]
+def _halves(part: str, last: bool) -> list[str]:
+    """The part in two; a word's last quote stays with what is before it, as it could start a contraction."""
+    cut = len(part) // 2
+    if last and cut == len(part) - 1 and part[cut] == "'":
+        cut -= 1
+    return [part[:cut], part[cut:]] if cut else [part]
+
+
+def _parts(words: list[str], tokens: list[int], table: MergeTable) -> tuple[list[list[str]], np.ndarray]:
+    """Each word in parts of about PART tokens and never much more, and the tokens of all parts."""
+    steps = [max(1, len(w) * PART // n) for w, n in zip(words, tokens)]
+    parts = [[w[i : i + step] for i in range(0, len(w), step)] for w, step in zip(words, steps)]
+    for some in parts:
+        if len(some) > 1 and some[-1] == "'":
+            some[-2:] = [some[-2] + "'"]
+    while True:
+        counts = np.diff(merge_words(pa.array([x for some in parts for x in some]), table)[1])
+        ends = np.cumsum([len(some) for some in parts])
+        large = {}
+        for at in np.flatnonzero(counts > 2 * PART).tolist():
+            of = int(np.searchsorted(ends, at, side="right"))
+            k = at - int(ends[of] - len(parts[of]))
+            if len(halves := _halves(parts[of][k], k == len(parts[of]) - 1)) > 1:
+                large.setdefault(of, {})[k] = halves
+        if not large:
+            return parts, counts
+        for of, cut in large.items():
+            parts[of] = [y for k, x in enumerate(parts[of]) for y in cut.get(k, [x])]
 
 
 def cut_texts(units: Units, capacity: int, overlap: int, rows: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -225,7 +243,8 @@ def _piece_batches(batches: Iterator[pa.RecordBatch], content: bytes, budgets: l
                 pending = np.unique(row[count > capacity])
                 fine = ~np.isin(row, pending)
                 kept.append(tuple(x[fine] for x in (row, start, end, rank, count, shared)))
-                limit -= PART
+                if len(pending) and (limit := limit - PART) < LONG_WORD:
+                    raise RuntimeError(f"texts {pending[:5]} of a block can't be cut to {capacity} tokens")
             if not kept:
                 continue
             row, start, end, rank, count, shared = (np.concatenate(x) for x in zip(*kept))
@@ -261,12 +280,12 @@ def split_texts(
     rank) and ``piece`` (the text).  Pieces cover the whole text in order.
 
     Texts within the capacity, null and empty ones give no rows; repeated keys
-    are cut each on its own.  A capacity below 16 tokens, or an overlap above
+    are cut each on its own.  A capacity below 64 tokens, or an overlap above
     half of it, is refused.  Other columns are not read.
     """
     for _, capacity, overlap in budgets:
-        if capacity < 16 or not 0 <= overlap <= capacity // 2:
-            raise ValueError(f"capacity {capacity} with overlap {overlap}: at least 16, and at most half of it")
+        if capacity < 2 * LONG_WORD or not 0 <= overlap <= capacity // 2:
+            raise ValueError(f"capacity {capacity} with overlap {overlap}: at least {2 * LONG_WORD}, and at most half of it")
     spark = documents.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(rank_file(tokenizer, folder).read_bytes())
