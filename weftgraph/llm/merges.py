@@ -21,6 +21,8 @@ import pyarrow as pa
 
 #: Longest word, in bytes, that is merged by scanning.
 SHORT = 256
+#: Fewer words of one length than this aren't worth a matrix.
+FEW = 3
 #: Cells of one matrix of words; bounds the memory of a step.
 CELLS = 1 << 18
 NONE = np.int32(2**31 - 1)
@@ -171,16 +173,20 @@ def merge_words(words: pa.Array, table: MergeTable) -> tuple[np.ndarray, np.ndar
     data = np.frombuffer(words.buffers()[2], np.uint8) if offsets[-1] else np.zeros(0, np.uint8)
     lengths = np.diff(offsets)
     found: list[tuple[np.ndarray, np.ndarray]] = []
+    alone: list[int] = []
     order = np.argsort(lengths, kind="stable")
     cuts = np.searchsorted(lengths[order], np.arange(1, SHORT + 2))
     for length in range(1, SHORT + 1):
         rows = order[cuts[length - 1] : cuts[length]]
+        if len(rows) < FEW:
+            alone += rows.tolist()
+            continue
         step = max(1, CELLS // length)
         for lo in range(0, len(rows), step):
             some = rows[lo : lo + step]
             spelt = data[offsets[some][:, None] + np.arange(length)]
             found += [(some[r], parts) for r, parts in _merge_rows(spelt, table)]
-    for row in order[cuts[SHORT] :]:
+    for row in [*alone, *order[cuts[SHORT] :]]:
         found.append((np.array([row]), _merge_long(data[offsets[row] : offsets[row + 1]], table)[None, :]))
     counts = np.zeros(n, np.int64)
     for rows, parts in found:

@@ -64,7 +64,7 @@ def _features(words: Words, table: MergeTable) -> dict[str, np.ndarray]:
         sizes = units
     space = _matches(distinct, f"^{_WS}+$")
     return {
-        "units": sizes, "starts": starts, "space": space, "opens": _matches(distinct, f"^{_WS}"),
+        "units": sizes, "starts": starts, "known": {}, "space": space, "opens": _matches(distinct, f"^{_WS}"),
         "ends": _matches(distinct, r"[.!?…]" + _CLOSERS), "wide_ends": _matches(distinct, r"[。！？]" + _CLOSERS),
         "section": _matches(distinct, _SECTION), "lines": np.asarray(pc.count_substring_regex(distinct, _LINE_END)).astype(np.int64) * space,
     }
@@ -77,6 +77,8 @@ class Units:
         if not words.derived:
             words.derived.update(_features(words, table))
         flat, starts = words.derived["units"], words.derived["starts"]
+        #: Tokens of the cut words and ends that have been counted in this batch.
+        self.known: dict[bytes, int] = words.derived["known"]
         unit, self.word_at = gather(np.arange(flat.shape[1]), starts, words.which)
         tokens, unit_chars, unit_bytes = flat[:, unit]
         of_word = np.repeat(np.arange(len(words.which)), np.diff(self.word_at))
@@ -201,9 +203,10 @@ def _exact(units: Units, text: memoryview, start: np.ndarray, end: np.ndarray, t
     cut = [(start, lo, np.flatnonzero(inner_start)), (hi, end, np.flatnonzero(hi < end))]
     pieces = [(i, int(f), int(t)) for first, last, of in cut for i, f, t in zip(of.tolist(), units.bytes[first[of]], units.bytes[last[of]])]
     if pieces:
-        encoded = pa.array([bytes(text[f:t]) for _, f, t in pieces], pa.binary()).dictionary_encode()
-        counts = np.diff(merge_words(encoded.dictionary, table)[1])
-        np.add.at(count, [i for i, _, _ in pieces], counts[np.asarray(encoded.indices)])
+        parts, known = [bytes(text[f:t]) for _, f, t in pieces], units.known
+        if new := [x for x in dict.fromkeys(parts) if x not in known]:
+            known.update(zip(new, np.diff(merge_words(pa.array(new, pa.binary()), table)[1]).tolist()))
+        np.add.at(count, [i for i, _, _ in pieces], [known[x] for x in parts])
     return count
 
 

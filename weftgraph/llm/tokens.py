@@ -29,7 +29,7 @@ WORDS = (
     rf"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
 #: Words handled at once in a task; bounds its memory whatever the texts' lengths.
-WORDS_AT_ONCE = 1 << 20
+WORDS_AT_ONCE = 1 << 19
 
 
 def rank_file(tokenizer: str = "byte_bpe_50k", folder: str | None = None) -> Path:
