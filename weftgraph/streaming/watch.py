@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,6 +42,6 @@ def event_windows(events: DataFrame, late: str = "1 day", size: str = "1 day") -
 def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """Run a stream over what is there now and return its result."""
     spark = stream.sparkSession
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)
