@@ -65,6 +65,23 @@ def test_crowded_buckets_lose_no_pair(spark):
     assert links == {(a, b) for a, b in combinations(sorted(sets), 2) if 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
 
 
+def test_frequent_members_of_small_sets(spark):
+    """Sets of one to four members, most with a frequent one, in crowded buckets of two: no link is lost."""
+    rng = random.Random(5)
+    rows = [(i, [*(["everywhere"] if i % 4 else []), *(f"m{rng.randrange(30)}" for _ in range(rng.randrange(1, 4)))], None, 1) for i in range(150)]
+    held = Clusters(spark.createDataFrame([*rows, (500, ["everywhere"], None, 1)], SCHEMA), "community_id", "names")
+    links = {tuple(r) for r in similar_sets(held.sets, Scratch(spark, "t"), bucket=2).collect()}
+    sets = {r.sid: set(r.members) for r in held.sets.collect()}
+    assert links == {(a, b) for a, b in combinations(sorted(sets), 2) if 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+
+
+def test_a_large_cluster_is_paired_part_by_part(spark, monkeypatch):
+    monkeypatch.setattr(module, "PART", 7)
+    rows = [(i, ["a", "b"], None, 1) for i in range(40)] + [(100 + i, ["x", f"y{i % 2}"], None, 1) for i in range(9)]
+    found = [tuple(r) for r in Clusters(spark.createDataFrame(rows, SCHEMA), "community_id", "names").pairs().collect()]
+    assert len(found) == len(set(found)) and set(found) == brute_pairs(rows)[0]
+
+
 def test_loose_clusters_are_divided_around_medoids(spark):
     chain = [(i, [f"m{j}" for j in range(i, i + 6)], None, 1) for i in range(0, 40, 2)]
     held = Clusters(spark.createDataFrame(chain + [(900, ["a", "b"], None, 1), (901, ["b", "a"], None, 1)], SCHEMA), "community_id", "names")

@@ -29,6 +29,8 @@ SIMILAR = (1, 2)
 BANDS, ROWS = 48, 2
 #: Largest bucket whose sets are paired with each other.
 BUCKET = 64
+#: Records of one cluster that meet the whole cluster in one task, about.
+PART = 2048
 #: A component with fewer than this share of its possible pairs is loose.
 DENSE = 0.5
 #: Members named for a cluster.
@@ -80,9 +82,19 @@ def similar_sets(sets: DataFrame, scratch: Scratch, similar: tuple[int, int] = S
     held = crowded.select("sid", F.size("members").alias("size"), F.explode("members").alias("member"))
     rare = held.groupBy("member").agg(F.count("*").alias("held_by"))
     ranked = held.join(rare, "member").withColumn("rank", F.row_number().over(Window.partitionBy("sid").orderBy("held_by", "member")))
-    # Similar sets share a member among the first size - ceil(size * p / q) + 1 in any common order.
-    prefix = ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * p / q) + 1).select("member", "sid")
-    rest = prefix.join(prefix.withColumnRenamed("sid", "other"), "member").where("sid < other").select(F.col("sid").alias("a"), F.col("other").alias("b"))
+    # Of two similar sets the larger shares a member of its first size - ceil(size * p / q) + 1, in any common order, with
+    # the smaller one's first size - ceil(size * 2p / (p + q)) + 1; a frequent member is seldom among the latter.
+    probe = ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * p / q) + 1).select("member", "sid", "size", "rank")
+    index = ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * 2 * p / (p + q)) + 1)
+    index = index.select("member", F.col("sid").alias("other"), F.col("size").alias("small"), F.col("rank").alias("at"))
+    # What two sets can still share after the first member they share.
+    reach = 1 + F.least(F.col("size") - F.col("rank"), F.col("small") - F.col("at"))
+    rest = (
+        probe.join(index, "member")
+        .where("size > small or (size = small and sid < other)")
+        .where((F.col("small") * q >= F.col("size") * p) & (reach * (p + q) >= (F.col("size") + F.col("small")) * p))
+        .select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b"))
+    )
 
     candidates = few.unionByName(rest).distinct()
     left, right = sets.select(F.col("sid").alias("a"), F.col("members").alias("ma")), sets.select(F.col("sid").alias("b"), F.col("members").alias("mb"))
@@ -129,9 +141,18 @@ class Clusters:
         return self.records.select("id", "sid").join(self.components(), "sid").select("id", "cluster")
 
     def pairs(self) -> DataFrame:
-        """``(a, b)``, a < b: all pairs of records in one cluster."""
-        one = self.membership()
-        return one.select("cluster", F.col("id").alias("a")).join(one.select("cluster", F.col("id").alias("b")), "cluster").where("a < b").select("a", "b")
+        """``(a, b)``, a < b: all pairs of records in one cluster.
+
+        A cluster of more than ``PART`` records meets itself part by part, so a
+        hot one is spread over as many tasks as it has parts.
+        """
+        placed = self.components().join(self.sets.select("sid", "copies"), "sid")
+        sizes = placed.groupBy("cluster").agg(F.ceil(F.sum("copies") / PART).cast("int").alias("parts"))
+        parted = self.components().join(sizes, "cluster")
+        one = self.scratch.write(self.records.select("id", "sid").join(parted, "sid").select("id", "cluster", "parts"))
+        left = one.select("cluster", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.col("id").alias("a"))
+        right = one.select("cluster", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("b"))
+        return left.join(right, ["cluster", "part"]).where("a < b").select("a", "b")
 
     def groups(self, dense: float = DENSE) -> DataFrame:
         """``(sid, cluster, medoid)``: in loose clusters sets follow the neighbour with the highest degree up to a medoid."""
