@@ -141,6 +141,18 @@ def test_orphans_follow_the_declared_match(spark, match):
     assert found == sorted(whole + {"simple": [], "partial": [3], "full": [2, 3]}[match])
 
 
+@pytest.mark.parametrize("match", ["simple", "partial", "full"])
+def test_hot_keys_change_no_result(spark, match):
+    """One key holds most of the references; cut into parts or whole, the same rows come out, repeated ones too."""
+    rows = [("hot" if i % 3 else f"k{i % 7}", None if i % 5 == 0 else "b", at(1 + i % 20), i % 40, [i]) for i in range(400)]
+    refs = spark.createDataFrame(rows + rows[:9], "a string, b string, t timestamp, id int, _from array<int>")
+    spans = [("hot", "b", at(3), at(9)), ("hot", "b", at(5), at(12)), ("hot", "c", at(15), None), ("k1", "b", None, at(4)), ("k3", None, None, None)]
+    targets = spark.createDataFrame(spans, "a string, b string, valid_from timestamp, valid_to timestamp")
+    whole, cut = (orphan_references(refs, targets, ["a", "b"], "t", match=match, hot_rows=n) for n in (10_000, 11))
+    assert cut.columns == refs.columns and whole.count() > 0
+    assert sorted(map(repr, cut.collect())) == sorted(map(repr, whole.collect()))
+
+
 def test_orphans_of_empty_tables(spark):
     schema = "a string, t timestamp, _0 int"
     targets = spark.createDataFrame([], "a string, valid_from timestamp, valid_to timestamp")

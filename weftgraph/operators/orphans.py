@@ -3,7 +3,8 @@
 A reference has a composite key of which any part may be null.  References are
 grouped by their null mask; each mask is anti-joined with the targets on its
 non-null columns and on the targets' period, so every join is a plain equi-join
-with one range condition.  Presence intervals come from hash aggregations.
+with one range condition.  A key of very many references meets its targets part by
+part, in as many tasks.  Presence intervals come from hash aggregations.
 """
 
 from __future__ import annotations
@@ -13,8 +14,23 @@ from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..plans.runtime import Scratch
 
 MATCHES = ("simple", "partial", "full")
+#: References to one key that meet its targets in one task, about.
+HOT_ROWS = 1 << 16
+#: Hot keys that may be broadcast; beyond it Spark joins by shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def _hot_keys(rows: DataFrame, held: list[str], own: str, hot_rows: int) -> DataFrame | None:
+    """The keys with more than ``hot_rows`` rows and the parts they are cut into; None if there is none."""
+    counted = rows.groupBy(*(F.col(c).alias(f"{own}h{i}") for i, c in enumerate(held))).agg(F.ceil(F.count("*") / hot_rows).cast("int").alias(f"{own}parts"))
+    hot = Scratch(rows.sparkSession, "hot_keys").write(counted.where(F.col(f"{own}parts") > 1))
+    number = hot.count()
+    return None if not number else F.broadcast(hot) if number <= BROADCAST_ROWS else hot
 
 
 def presence_intervals(seen: DataFrame, gone: DataFrame, key: str, seen_at: str, gone_at: str) -> DataFrame:
@@ -49,6 +65,7 @@ def orphan_references(
     valid_from: str = "valid_from",
     valid_to: str = "valid_to",
     match: str = "partial",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """The rows of ``references`` whose composite key ``on`` has no target at time ``at``.
 
@@ -59,6 +76,8 @@ def orphan_references(
     reports every one of them.  A wholly null key refers to nothing and is never
     reported, nor is a reference without a time.  Repeated references come out
     as often as they came in, with all their columns; targets may repeat.
+    Keys of more than ``hot_rows`` references are cut into parts by the other
+    columns, which changes no result.
     """
     if match not in MATCHES:
         raise ValueError(f"match must be one of {MATCHES}")
@@ -75,9 +94,17 @@ def orphan_references(
             return rows
         keys = targets.select(*(F.col(c).alias(f"{own}{i}") for i, c in enumerate(held)), *period).dropna(subset=[f"{own}{i}" for i in range(len(held))])
         same = [F.col(c) == F.col(f"{own}{i}") for i, c in enumerate(held)]
+        if (hot := _hot_keys(rows, held, own, hot_rows)) is not None:
+            part, parts = f"{own}part", F.coalesce(f"{own}parts", F.lit(1))
+            found = lambda side: reduce(Column.__and__, [F.col(c) == F.col(f"{own}h{i}") for i, c in enumerate(side)])
+            plain = [rows[f"`{f.name}`"] for f in references.schema if isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType)]
+            rows = rows.join(hot, found(held), "left").withColumn(part, F.pmod(F.xxhash64(*plain), parts).cast("int"))
+            rows = rows.drop(f"{own}parts", *(f"{own}h{i}" for i in range(len(held))))
+            keys = keys.join(hot, found([f"{own}{i}" for i in range(len(held))]), "left").withColumn(f"{own}of", F.explode(F.sequence(F.lit(0), parts - 1)))
+            same.append(F.col(part) == F.col(f"{own}of"))
         begun = F.col(f"{own}from").isNull() | (F.col(f"{own}from") <= F.col(at))
         then = begun & (F.col(f"{own}to").isNull() | (F.col(f"{own}to") > F.col(at)))
-        return rows.join(keys, reduce(Column.__and__, [*same, then]), "left_anti")
+        return rows.join(keys, reduce(Column.__and__, [*same, then]), "left_anti").drop(f"{own}part")
 
     masks = [m for m in product((False, True), repeat=len(on)) if not all(m) and (match != "simple" or not any(m))]
     return reduce(DataFrame.unionByName, map(masked, masks))
