@@ -1,6 +1,7 @@
 """Containers: every limit kept, every text whole, little room left."""
 
 import random
+import tempfile
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -94,3 +95,26 @@ def test_edges(spark):
     assert len(same) == 3 and len({r.container_id for r in same}) == 1
     with pytest.raises(ValueError):
         pack_texts(spark.createDataFrame([], schema), {1: (0, 1, 1)})
+
+
+def test_only_texts_above_the_capacity_are_split_under_the_production_limits(spark):
+    from weftgraph.llm.queries import p7_containers
+
+    folder = tempfile.mkdtemp(prefix="spark-")
+    sizes = [1, 60, *range(500, 520), 1024, 1030]
+    texts = [("word" + " word" * (n - 1), kind) for n in sizes for kind in ("design_note", "query", "curation_talk")]
+    texts += [("agent:" + " word" * n, "curation_talk") for n in range(495, 515)]
+    spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, text string, doc_type string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, "byte_bpe_50k", 512)], "budget_id int, tokenizer string, capacity int").write.parquet(f"{folder}/token_budgets.parquet")
+    parts, held = defaultdict(list), defaultdict(list)
+    for r in p7_containers(spark, folder).collect():
+        parts[r.doc_id].append(r)
+        held[r.container_id].append(r)
+    for doc, own in parts.items():
+        total = len(LIBRARY.encode_ordinary(texts[doc][0]))
+        assert sum(r.n_tokens for r in own) == total and (len(own) > 1) == (total > 512)
+    _, segments, loss = limits(512)
+    assert any(sum(r.loss_tokens for r in own) > loss for own in held.values())
+    for own in held.values():
+        assert sum(r.n_tokens for r in own) <= 512 and len(own) <= segments
+        assert sum(r.loss_tokens for r in own) <= loss or len(own) == 1

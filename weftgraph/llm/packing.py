@@ -76,7 +76,7 @@ def _cut(tokens: np.ndarray, loss: np.ndarray, capacity: int, most_loss: int) ->
     return parts
 
 
-def _item_batches(batches: Iterator[pa.RecordBatch], content: bytes, budgets: list[tuple[int, int, int, int]], roles: tuple[str, ...], names: list[str]) -> Iterator[pa.RecordBatch]:
+def _item_batches(batches: Iterator[pa.RecordBatch], content: bytes, budgets: list[tuple[int, int, int, int]], roles: tuple[str, ...], names: list[str], whole_texts: bool) -> Iterator[pa.RecordBatch]:
     for block, words in word_batches(batches, content):
         mode = np.asarray(block.column(1)).astype(np.int64)
         counts = words.counts[words.which]
@@ -86,14 +86,15 @@ def _item_batches(batches: Iterator[pa.RecordBatch], content: bytes, budgets: li
         whole, borne = np.diff(tokens[words.rows]), np.diff(loss[words.rows])
         for budget, capacity, _, most_loss in budgets:
             step = np.where(mode == NOTHING, capacity, min(capacity, most_loss))
-            mixed = np.flatnonzero((mode == TURNS) & ((whole > capacity) | (borne > most_loss)))
-            number = np.maximum(1, -(-whole // step))
+            above = (whole > capacity) | ((borne > most_loss) & (not whole_texts))
+            mixed = np.flatnonzero((mode == TURNS) & above)
+            number = np.where(above, np.maximum(1, -(-whole // step)), 1)
             number[(mode == TURNS)] = 1
             number[mixed] = 0
             row = np.repeat(np.arange(len(whole)), number)
             part = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)
             start = part * step[row]
-            size = np.where(mode[row] == TURNS, whole[row], np.minimum(whole[row] - start, step[row]))
+            size = np.where(above[row] & (mode[row] != TURNS), np.minimum(whole[row] - start, step[row]), whole[row])
             bearing = np.where(mode[row] == TURNS, borne[row], np.where(mode[row] == ALL, size, 0))
             rows = [row, part, start, size, bearing]
             more = []
@@ -108,7 +109,7 @@ def _item_batches(batches: Iterator[pa.RecordBatch], content: bytes, budgets: li
 
 
 def pack(tokens: np.ndarray, loss: np.ndarray, capacity: int, segments: int, most_loss: int) -> np.ndarray:
-    """The container of each item, by the dot-product heuristic. Every item fits an empty container."""
+    """The container of each item, by the dot-product heuristic. Every item fits an empty container, or bears too much loss and gets one alone."""
     order = np.lexsort((-loss, -tokens))
     t, bear = tokens[order].astype(np.float64), loss[order].astype(np.float64)
     at = np.arange(len(order))
@@ -164,13 +165,16 @@ def pack_texts(
     tokenizer: str = "byte_bpe_50k",
     folder: str | None = None,
     block: int = BLOCK,
+    whole_texts: bool = False,
 ) -> DataFrame:
     """Each text's container, for each budget id with its :func:`limits`.
 
     Columns: ``budget_id, container_id, key, part_no, token_start, n_tokens,
     loss_tokens``.  A container keeps all three limits.  A text is one part
     unless it alone exceeds the tokens or loss-bearing tokens of a container;
-    then its parts follow each other by ``token_start``.  ``loss`` says which
+    then its parts follow each other by ``token_start``.  With ``whole_texts``
+    only the tokens split a text: one that fits them, but bears more loss than
+    a container takes, stays whole in a container of its own.  ``loss`` says which
     tokens of a row bear loss (``ALL``, the default and for null, ``NOTHING``
     or ``TURNS`` of the ``roles``).
 
@@ -192,7 +196,7 @@ def pack_texts(
     mode = F.coalesce(loss, F.lit(ALL)) if loss is not None else F.lit(ALL)
     rows = documents.select(F.col(key), mode.cast("int").alias("_mode"), words_of(F.col(text)).alias("_words"))
     flat, names = [(b, *x) for b, x in budgets.items()], [f.name for f in fields]
-    items = rows.mapInArrow(lambda batches: _item_batches(batches, shared.value, flat, roles, names), T.StructType(fields))
+    items = rows.mapInArrow(lambda batches: _item_batches(batches, shared.value, flat, roles, names, whole_texts), T.StructType(fields))
     items = items.withColumn("block", F.pmod(F.xxhash64(key, "part_no"), F.lit(blocks)))
     return items.groupBy("budget_id", "block").applyInPandas(
         _packer(key, budgets), T.StructType([*fields, T.StructField("container_id", T.LongType())])

@@ -59,7 +59,7 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's container under each budget; agents' turns bear loss, queries don't, other texts do."""
     loss = F.when(F.col("doc_type") == "query", NOTHING).when(F.col("doc_type") == "curation_talk", TURNS).otherwise(ALL)
     budgets = {b.budget_id: limits(b.capacity) for b in _budgets(spark, sf_dir)}
-    return pack_texts(_table(spark, sf_dir, "documents"), budgets, loss)
+    return pack_texts(_table(spark, sf_dir, "documents"), budgets, loss, whole_texts=True)
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
