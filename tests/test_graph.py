@@ -184,3 +184,31 @@ def test_streams(spark, tmp_path):
     batches = []
     watch.watch_files(spark, folder, "query string, tier string, seen_at timestamp", lambda rows, n: batches.append(rows.count()), f"file://{tmp_path}/state").awaitTermination()
     assert sum(batches) == 3
+
+
+def test_watched_files_keep_their_latest_state_over_all_snapshots_batch_by_batch(spark, tmp_path, monkeypatch):
+    from weftgraph.plans import text_queries
+
+    schema = "project string, snapshot_no int, file_path string, content_sha1 string, loaded_at timestamp_ntz"
+    rows = [("p", s, f"f{i}", f"{i}-{s}", datetime(2024, 1, s, i % 20)) for s in range(1, 9) for i in range(s, 40)] + [("p", 8, "late", "x", datetime(2024, 2, 1)), ("p", 8, "f39", None, datetime(2024, 3, 1)), ("p", 8, None, "x", datetime(2024, 3, 1))]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/index_files.parquet")
+    monkeypatch.setattr(text_queries, "FILE_ROWS", 20)
+    sizes = []
+    monkeypatch.setattr(watch, "latest_state", lambda rows, fold=watch.latest_state: sizes.append(rows) or fold(rows))
+    want = {f"p/f{i}": f"{i}-{min(i, 8)}" for i in range(1, 40)} | {"p/late": "x"}
+    assert dict(rows_of(text_queries.watch_latest(spark, str(tmp_path)))) == want
+    assert len(sizes) >= 4  # several batches, and once over what they left
+    early = {f"p/f{i}": f"{i}-{min(i, 2)}" for i in range(1, 40)}
+    assert dict(rows_of(text_queries.watch_microbatch(spark, str(tmp_path)))) == early
+
+
+def test_a_stream_run_to_a_table_holds_no_rows_in_the_driver(spark, tmp_path):
+    folder = f"file://{tmp_path}/in"
+    spark.createDataFrame([("a", "none", datetime(2024, 1, 1)), ("b", "low", datetime(2024, 1, 2)), ("a", "low", datetime(2024, 1, 2))], "query string, tier string, seen_at timestamp").repartition(3).write.parquet(folder)
+    stream = spark.readStream.schema("query string, tier string, seen_at timestamp").option("maxFilesPerTrigger", 1).parquet(folder)
+    table = watch.run_to_table(watch.count_misses(stream), "misses_on_disk")
+    assert rows_of(table, "key", "n") == [("a", 2), ("b", 1)] and len(table.inputFiles()) >= 1
+    nothing = f"file://{tmp_path}/none"
+    spark.createDataFrame([], "path string, sha1 string, seen_at timestamp").write.parquet(nothing)
+    none = spark.readStream.schema("path string, sha1 string, seen_at timestamp").parquet(nothing)
+    assert watch.run_to_table(none, "nothing", fold=watch.latest_state).isEmpty()

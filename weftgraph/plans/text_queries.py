@@ -74,11 +74,16 @@ def source_methods(spark, sf):
     return extraction.methods(extraction.declared_types(files)).select("path", "owner", "key", "arity")
 
 
-def _stream(spark, sf, name: str, columns: str) -> DataFrame:
-    """A table as a stream of files: its only file is linked into a folder by writing it there."""
+#: Rows in a file of a stream that runs batch by batch, and files in a batch, at most.
+FILE_ROWS, BATCH_FILES = 65536, 4
+
+
+def _stream(spark, sf, name: str, columns: str, batches: bool = False) -> DataFrame:
+    """A table as a stream of files: its only file is linked into a folder by writing it there, with ``batches`` as files of bounded size."""
     folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    table(spark, sf, name).selectExpr(*columns.split(", ")).write.parquet(folder)
-    return spark.readStream.schema(spark.read.parquet(folder).schema).parquet(folder)
+    table(spark, sf, name).selectExpr(*columns.split(", ")).write.option("maxRecordsPerFile", FILE_ROWS if batches else 0).parquet(folder)
+    reader = spark.readStream.schema(spark.read.parquet(folder).schema)
+    return (reader.option("maxFilesPerTrigger", BATCH_FILES) if batches else reader).parquet(folder)
 
 
 @_query("""
@@ -103,7 +108,16 @@ def event_windows_stream(spark, sf):
 @_query("""
 SELECT project || '/' || file_path AS path, arg_max(content_sha1, loaded_at) AS sha1 FROM index_files WHERE content_sha1 IS NOT NULL AND snapshot_no <= 2 AND file_path IS NOT NULL GROUP BY 1""")
 def watch_microbatch(spark, sf):
-    """The state of watched files after a stream of index records up to the second snapshots, batch by batch."""
-    files = _stream(spark, sf, "index_files", "project || '/' || file_path AS path, content_sha1 AS sha1, loaded_at AS seen_at, snapshot_no")
+    """The state of watched files after a stream of index records up to the second snapshots, batch by batch; :func:`watch_latest` takes them all."""
+    files = _stream(spark, sf, "index_files", "project || '/' || file_path AS path, content_sha1 AS sha1, loaded_at AS seen_at, snapshot_no", batches=True)
     seen = files.where("sha1 is not null and path is not null and snapshot_no <= 2")
-    return watch.run_to_table(watch.latest_state(seen), f"watched_{uuid.uuid4().hex}").select("path", "sha1")
+    return watch.run_to_table(seen, f"watched_{uuid.uuid4().hex}", fold=watch.latest_state).select("path", "sha1")
+
+
+@_query("""
+SELECT project || '/' || file_path AS path, arg_max(content_sha1, (loaded_at, snapshot_no, content_sha1)) AS sha1 FROM index_files WHERE content_sha1 IS NOT NULL AND project IS NOT NULL AND file_path IS NOT NULL GROUP BY 1""")
+def watch_latest(spark, sf):
+    """The latest state of all watched files after a stream of all index records, batch by batch."""
+    files = _stream(spark, sf, "index_files", "project || '/' || file_path AS path, content_sha1 AS sha1, loaded_at, snapshot_no", batches=True)
+    seen = files.where("sha1 is not null and path is not null").select("path", "sha1", F.struct("loaded_at", "snapshot_no", "sha1").alias("seen_at"))
+    return watch.run_to_table(seen, f"watched_{uuid.uuid4().hex}", fold=watch.latest_state).select("path", "sha1")

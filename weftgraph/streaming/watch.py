@@ -39,9 +39,29 @@ def event_windows(events: DataFrame, late: str = "1 day", size: str = "1 day") -
     return timed.groupBy(F.window("at", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there now and return its result."""
+def run_to_table(stream: DataFrame, name: str, mode: str = "complete", fold: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Run a stream over what is there now and return its result, a table in the shared folder.
+
+    The tasks write each batch's rows there; nothing goes through the driver.
+    An aggregated stream gives its whole state with each batch, of which the
+    last counts.  With ``fold`` the stream isn't aggregated: each batch is
+    folded by itself, and what all batches left is folded again, so the state
+    needs no store in memory (``fold`` must bear that, as :func:`latest_state` does).
+    """
     spark = stream.sparkSession
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}").trigger(availableNow=True).start()
+    root, written = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", {}
+
+    def write(rows: DataFrame, batch: int) -> None:
+        kept = fold(rows) if fold else rows
+        kept.write.mode("overwrite").parquet(path := f"{root}/table/{batch}")
+        written[batch] = path, kept.schema
+
+    query = stream.writeStream.outputMode("append" if fold else mode).foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    if not written:
+        empty = spark.createDataFrame([], stream.schema)
+        return fold(empty) if fold else empty
+    last = max(written)
+    paths = [written[last][0]] if mode == "complete" and not fold else [path for path, _ in written.values()]
+    table = spark.read.schema(written[last][1]).parquet(*paths)
+    return fold(table) if fold else table
