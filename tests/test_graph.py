@@ -212,3 +212,24 @@ def test_a_stream_run_to_a_table_holds_no_rows_in_the_driver(spark, tmp_path):
     spark.createDataFrame([], "path string, sha1 string, seen_at timestamp").write.parquet(nothing)
     none = spark.readStream.schema("path string, sha1 string, seen_at timestamp").parquet(nothing)
     assert watch.run_to_table(none, "nothing", fold=watch.latest_state).isEmpty()
+
+
+@pytest.mark.parametrize("block", [2, 4096])
+def test_candidates_of_many_queries_equal_those_of_each(spark, block):
+    rows = spark.createDataFrame(
+        [node("Class", f"N.T{i}", ["FireBall", "Ball", "Fireplace", "Fire", "物理Camera"][i % 5] + str(i % 3), doc=["a fire toy", None, "on the camera"][i % 3], stale=i == 7) for i in range(60)], NODES
+    ).repartition(3)
+    texts = ["fire ball", " Ball1 ", "zzz", "物理", "FireBall0", "?", "on the", "fire ball"]
+    asked = spark.createDataFrame([*enumerate(texts), (90, " \n"), (91, None)], "query_id long, query string")
+    found = rows_of(search.candidates_of(rows, asked, 4, block=block), "query_id", "key", "score")
+    each = {t: rows_of(search.candidates(rows, [t], 4), "key", "score") for t in set(texts)}
+    assert found == sorted(((i, *r) for i, t in enumerate(texts) for r in each[t]), key=repr)
+    assert any(r[0] == 0 for r in found) and not any(r[0] in (2, 90, 91) for r in found)
+
+
+def test_candidates_are_found_by_summary_and_signature(spark):
+    rows = spark.createDataFrame([node("Class", "N.A", "A"), node("Concept", "concept:c", "c")], NODES)
+    rows = rows.withColumn("signature", F.when(F.col("label") == "Class", "class A : Vehicle")).withColumn("summary", F.when(F.col("label") == "Concept", "about weather"))
+    asked = spark.createDataFrame([(1, "vehicle"), (2, "Weather")], "query_id long, query string")
+    assert rows_of(search.candidates_of(rows, asked), "query_id", "key", "score") == [(1, "N.A", 1.0), (2, "concept:c", 1.0)]
+    assert rows_of(search.candidates(rows, ["vehicle"]), "key") == [("N.A",)]

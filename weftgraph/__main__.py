@@ -45,7 +45,7 @@ def main(arguments: list[str] | None = None) -> int:
             from .sources.project_files import manifest, project_files
 
             nodes, edges = project_graph(project_files(spark, args.project), manifest(spark, args.manifest) if args.manifest else None)
-            nodes = nodes.select("label", "key", "name", "path", "doc", F.lit("static").alias("source"), F.lit(False).alias("stale"))
+            nodes = nodes.select("label", "key", "name", "path", "doc", "signature", F.lit("static").alias("source"), F.lit(False).alias("stale"))
             kept = graph.edges.where("source = 'semantic'")
             static = edges.withColumn("source", F.lit("static"))
             print(json.dumps({"version": graph.save(nodes=nodes, edges=kept.unionByName(static, allowMissingColumns=True))}))

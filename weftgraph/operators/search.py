@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.keys import stripped
 from ..functions.text import query_tokens
 from ..plans.runtime import ship
 
@@ -25,27 +27,101 @@ def lexical_score(query: Column, tokens: Column, name: Column, haystack: Column)
     return F.when((hits > 0) | inside, hits.cast("double") / F.size(tokens) + bonus)
 
 
+def _searched(nodes: DataFrame, labels: tuple[str, ...]) -> DataFrame:
+    """The nodes that aren't stale with ``_name`` and ``_text``, what is searched, in lower case; summary and signature where the nodes have them."""
+    rows = nodes.where(~F.coalesce("stale", F.lit(False)))
+    if labels and not rows.where(F.lower("label").isin(*(x.lower() for x in labels))).isEmpty():
+        rows = rows.where(F.lower("label").isin(*(x.lower() for x in labels)))
+    text = F.lower(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in ("name", "key", "doc", "summary", "signature") if c in nodes.columns)))
+    return rows.select("label", "name", "key", "path", F.lower(F.coalesce("name", F.lit(""))).alias("_name"), text.alias("_text"))
+
+
 def candidates(nodes: DataFrame, queries: list[str], k: int = 10, labels: tuple[str, ...] = ()) -> DataFrame:
     """``(query, label, name, key, path, score)``: each query's best ``k`` nodes by words found.
 
     One scan serves all queries: each node is scored for every query inside the
     scan's stage, and only hits are ranked.  Stale nodes are left out; labels
     that match none of the nodes' labels count as no filter.  A blank query
-    finds nothing.
+    finds nothing.  Many queries go into :func:`candidates_of`.
     """
     if not (queries := [q for q in dict.fromkeys(queries) if q.strip()]):
         raise ValueError("no query")
-    rows = nodes.where(~F.coalesce("stale", F.lit(False)))
-    if labels and not rows.where(F.lower("label").isin(*(x.lower() for x in labels))).isEmpty():
-        rows = rows.where(F.lower("label").isin(*(x.lower() for x in labels)))
-    text = F.lower(F.concat_ws(" ", *(F.coalesce(c, F.lit("")) for c in ("name", "key", "doc"))))
-    rows = rows.select("label", "name", "key", "path", F.lower(F.coalesce("name", F.lit(""))).alias("_name"), text.alias("_text"))
+    rows = _searched(nodes, labels)
     scored = F.array(*(F.struct(F.lit(q).alias("query"), lexical_score(F.lit(q.strip().lower()), query_tokens(F.lit(q)), F.col("_name"), F.col("_text")).alias("score")) for q in queries))
     hits = rows.select("label", "name", "key", "path", F.explode(F.filter(scored, lambda x: x["score"].isNotNull())).alias("_hit")).select("_hit.query", "label", "name", "key", "path", "_hit.score")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "label", "key")
     return hits.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= k).drop("_at")
 
 
+def _candidate_batches(batches: Iterator[pa.RecordBatch], ids: list, texts: list[str], tokens: list[list[str]], k: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    words: dict[str, list[int]] = {}
+    for q, own in enumerate(tokens):
+        for t in own:
+            words.setdefault(t, []).append(q)
+    counts = np.array([len(own) for own in tokens], np.float64)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        shown, (name, text) = batch.columns[:4], batch.columns[4:]
+        # The rank of each row among the batch's by label and key; null first.
+        keys = pa.table({"l": shown[0], "k": shown[2]})
+        order = np.asarray(pc.sort_indices(keys, [("l", "ascending"), ("k", "ascending")], null_placement="at_start"))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        hits: dict[int, list[np.ndarray]] = {}
+        for t, own in words.items():
+            found = np.flatnonzero(np.asarray(pc.match_substring(text, t).to_numpy(zero_copy_only=False), bool))
+            if len(found):
+                for q in own:
+                    hits.setdefault(q, []).append(found)
+        longest = pc.max(pc.binary_length(name)).as_py()
+        for q, query in enumerate(texts):
+            score = np.zeros(batch.num_rows)
+            if q in hits:
+                score = np.bincount(np.concatenate(hits[q]), minlength=batch.num_rows) / counts[q]
+            if len(query.encode()) <= longest:
+                inside = np.flatnonzero(np.asarray(pc.match_substring(name, query).to_numpy(zero_copy_only=False), bool))
+                own = name.take(pa.array(inside))
+                bonus = np.asarray(pc.equal(own, query).to_numpy(zero_copy_only=False), float) + 0.5 + 0.25 * np.asarray(pc.starts_with(own, query).to_numpy(zero_copy_only=False), float)
+                score[inside] += bonus
+            picked = np.flatnonzero(score)
+            if not len(picked):
+                continue
+            if len(picked) > k:
+                picked = picked[score[picked] >= np.partition(score[picked], len(picked) - k)[len(picked) - k]]
+            picked = picked[np.lexsort((rank[picked], -score[picked]))[:k]]
+            at = pa.array(picked)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[q]] * len(picked), pa.int64()), *(c.take(at) for c in shown), pa.array(score[picked])], names)
+
+
+def candidates_of(nodes: DataFrame, queries: DataFrame, k: int = 10, labels: tuple[str, ...] = (), key: str = "query_id", text: str = "query", block: int = QUERY_BLOCK) -> DataFrame:
+    """``(query_id, label, name, key, path, score)`` as by :func:`candidates`, for the queries of a DataFrame.
+
+    Queries are taken in blocks of bounded size; each block is sent to the
+    tasks that scan the nodes, where each word is looked for once for all
+    queries that hold it, and only a batch's best ``k`` of a query are
+    shuffled.  Null and blank queries find nothing; keys are unique numbers.
+    """
+    spark = nodes.sparkSession
+    ship(spark)
+    rows = _searched(nodes, labels)
+    schema = T.StructType([T.StructField("query_id", T.LongType()), *(T.StructField(c, rows.schema[c].dataType) for c in ("label", "name", "key", "path")), T.StructField("score", T.DoubleType())])
+    plain = stripped(F.col(text))
+    held = queries.where(F.coalesce(plain, F.lit("")) != "").select(F.col(key).cast("long").alias("id"), F.lower(plain).alias("q"), query_tokens(plain).alias("t"))
+    blocks = max(1, -(-held.count() // block))
+    held = held.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    parts = []
+    for b in range(blocks):
+        asked = held.where(F.col("b") == b).select("id", "q", "t").toArrow()  # about one block
+        shared = spark.sparkContext.broadcast(tuple(asked.column(c).to_pylist() for c in ("id", "q", "t")))
+        parts.append(rows.mapInArrow(lambda batches, s=shared: _candidate_batches(batches, *s.value, k, schema.names), schema))
+    found = parts[0]
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "label", "key")
+    return found.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= k).drop("_at")
+
+
 def confidence_tiers(found: DataFrame, queries: DataFrame) -> DataFrame:
     """``(query, tier, top_score, hit, retry_english)`` of every query: high from a score of 1, else low, or none."""
     top = found.groupBy("query").agg(F.max("score").alias("top_score"))

@@ -205,6 +205,27 @@ def candidates_tier(spark, sf):
     return search.confidence_tiers(found, spark.createDataFrame([(q,) for q in _LEXICAL], "query string"))
 
 
+_ASKED_SQL = r"""
+, summaries AS (SELECT 'concept:' || community_name AS key, arg_max(summary, (created_at, community_id)) AS summary FROM communities WHERE community_name IS NOT NULL AND summary IS NOT NULL GROUP BY 1),
+trimmed AS (SELECT doc_id AS query_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS query FROM documents WHERE doc_type = 'query' AND doc_id % 100 = 0),
+worded AS (SELECT *, lower(query) AS q, list_distinct(list_filter(list_transform(regexp_extract_all(regexp_replace(query, '(\p{Ll})(\p{Lu})', '\1 \2', 'g'), '[\p{L}\p{Nd}]+'), lambda w: lower(w)), lambda w: length(w) > 1)) AS ws FROM trimmed WHERE query <> ''),
+queries AS MATERIALIZED (SELECT query_id, q, CASE WHEN len(ws) > 0 THEN ws ELSE [q] END AS toks FROM worded),
+text AS (SELECT label, name, key, path, lower(coalesce(name, '')) AS lname, lower(concat_ws(' ', coalesce(name, ''), coalesce(key, ''), coalesce(doc, ''), CASE WHEN label = 'Concept' THEN coalesce(summary, '') ELSE '' END,
+           CASE WHEN label NOT IN ('Namespace', 'Asset', 'Concept') THEN coalesce(lower(label) || ' ' || name, '') ELSE '' END)) AS hay FROM nodes LEFT JOIN summaries USING (key) WHERE NOT coalesce(stale, false)),
+hits AS (SELECT *, len(list_filter(toks, lambda t: contains(hay, t))) AS hit FROM text, queries),
+found AS (SELECT query_id, label, name, key, path, hit::DOUBLE / len(toks) + CASE WHEN lname = q THEN 1.0 ELSE 0.0 END + CASE WHEN contains(lname, q) THEN 0.5 ELSE 0.0 END
+                 + CASE WHEN starts_with(lname, q) THEN 0.25 ELSE 0.0 END AS score
+          FROM hits WHERE hit > 0 OR contains(lname, q) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label, key) <= 10)
+SELECT * FROM found"""
+
+
+@_query(_ASKED_SQL)
+def candidates_documents(spark, sf):
+    """The ten nodes that fit each query among the hundredth documents best, by words found in name, key, doc, summary and signature."""
+    asked = pg.table(spark, sf, "documents").where("doc_type = 'query' and doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    return search.candidates_of(pg.searched_nodes(spark, sf), asked, 10)
+
+
 @_query(r"""
 WITH names AS (SELECT DISTINCT type_name AS name FROM type_nodes),
 words AS (SELECT DISTINCT name, lower(unnest(regexp_extract_all(regexp_replace(name, '([a-z])([A-Z])', '\1 \2', 'g'), '[A-Za-z0-9]+'))) AS token FROM names)

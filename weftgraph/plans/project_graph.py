@@ -52,6 +52,14 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape[0].unionByName(shape[1]).unionByName(shape[2]).unionByName(shape[3])
 
 
+def searched_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes with ``summary``, of concepts the last that communities of their name gave, and ``signature``, of types."""
+    named = table(spark, sf_dir, "communities").where("community_name is not null and summary is not null").groupBy(F.concat(F.lit("concept:"), "community_name").alias("key"))
+    summaries = named.agg(F.max_by("summary", F.struct("created_at", "community_id")).alias("summary")).withColumn("label", F.lit("Concept"))
+    held = nodes(spark, sf_dir).join(summaries, ["label", "key"], "left")
+    return held.withColumn("signature", F.when(~F.col("label").isin("Namespace", "Asset", "Concept"), F.concat(F.lower("label"), F.lit(" "), F.col("name"))))
+
+
 def asset_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(rel, src, dst)`` as the latest manifests state them, dangling ones included."""
     assets = latest_assets(spark, sf_dir)
