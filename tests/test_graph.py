@@ -1,6 +1,7 @@
 """Lookups, traversals, search, mutations, sessions and streams on small graphs."""
 
 import json
+from collections import Counter
 from datetime import datetime
 
 import numpy as np
@@ -214,6 +215,36 @@ def test_a_stream_run_to_a_table_holds_no_rows_in_the_driver(spark, tmp_path):
     assert watch.run_to_table(none, "nothing", fold=watch.latest_state).isEmpty()
 
 
+def test_registered_communities_are_final_as_by_brute_force(spark, monkeypatch):
+    from weftgraph.plans import graph_queries, project_graph
+
+    names = [f"k{i:02}" for i in range(24)]
+    links = [(names[i], names[i + 1]) for i in range(15)] + [(names[a], names[b]) for a in range(16, 23) for b in range(a + 1, 24) if (a + b) % 3]
+    monkeypatch.setattr(project_graph, "types", lambda *_: spark.createDataFrame([(k, k.upper(), False) for k in names], "key string, name string, stale boolean"))
+    monkeypatch.setattr(project_graph, "structural_edges", lambda *_: spark.createDataFrame(links, "src string, dst string"))
+
+    def brute(rounds):
+        ways = [*links, *((b, a) for a, b in links)]
+        label = {k: k for x in links for k in x}
+        for done in range(rounds):
+            after = {}
+            for k, own in label.items():
+                votes = Counter([own, *(label[b] for a, b in ways if a == k)])
+                after[k] = min(votes, key=lambda c: (-votes[c], c))
+            if after == label:
+                return label, done
+            label = after
+        return label, rounds
+
+    final, took = brute(20)
+    assert 3 < took and final != brute(3)[0]
+    size = Counter(final.values())
+    want = sorted((k, c) for k, c in final.items() if size[c] >= 2)
+    assert rows_of(graph_queries.communities(spark, "")) == want
+    described = rows_of(graph_queries.communities_described(spark, ""), "key", "members")
+    assert described == sorted((f"community:{min(k for k, x in want if x == c)}", n) for c, n in size.items() if n >= 2)
+
+
 @pytest.mark.parametrize("block", [2, 4096])
 def test_candidates_of_many_queries_equal_those_of_each(spark, block):
     rows = spark.createDataFrame(

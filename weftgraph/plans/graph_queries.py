@@ -143,15 +143,21 @@ labels0 AS (SELECT DISTINCT src AS key, src AS community FROM ways)"""
 )
 
 
-def _communities(spark, sf):
+def _communities(spark, sf, **rounds):
     kinds = pg.types(spark, sf).where(graph.live()).select("key", "name")
     links = pg.structural_edges(spark, sf)
-    return kinds, links, graph.label_propagation(kinds, links, rounds=3)
+    return kinds, links, graph.label_propagation(kinds, links, **rounds)
 
 
 @_query(_LPA_SQL + " SELECT key, community FROM member")
 def communities_lpa3(spark, sf):
-    """Communities of types by three rounds of label propagation."""
+    """Communities of types by three rounds of label propagation, which SQL can unroll; :func:`communities` goes on to the end."""
+    return _communities(spark, sf, rounds=3)[2]
+
+
+@_query()
+def communities(spark, sf):
+    """Communities of types by label propagation until no label changes, or for 20 rounds."""
     return _communities(spark, sf)[2]
 
 
@@ -163,7 +169,14 @@ SELECT 'community:' || min(key) AS key, count(*) AS members, coalesce(any_value(
        string_agg(name, ', ' ORDER BY pos) FILTER (WHERE pos <= 8) || CASE WHEN count(*) > 8 THEN ' …' ELSE '' END AS listed
 FROM named LEFT JOIN links USING (community) GROUP BY community""")
 def community_summary(spark, sf):
-    """Each community of types with a name, its size, inner edges and first members."""
+    """Each community of types after three rounds with a name, its size, inner edges and first members; :func:`communities_described` has the final ones."""
+    kinds, links, member = _communities(spark, sf, rounds=3)
+    return graph.community_summaries(member, kinds, links)
+
+
+@_query()
+def communities_described(spark, sf):
+    """Each final community of types with a name, its size, inner edges and first members."""
     kinds, links, member = _communities(spark, sf)
     return graph.community_summaries(member, kinds, links)
 
