@@ -118,3 +118,13 @@ def test_only_texts_above_the_capacity_are_split_under_the_production_limits(spa
     for own in held.values():
         assert sum(r.n_tokens for r in own) <= 512 and len(own) <= segments
         assert sum(r.loss_tokens for r in own) <= loss or len(own) == 1
+
+
+@pytest.mark.parametrize("name", ["AGENT:", "\ufeffagent:", "  agent:", " \ufeffAgent :", "agent\u200b:"])
+def test_agents_turns_are_known_in_any_case_and_after_blanks_and_format_characters(spark, name):
+    size = lambda text: len(LIBRARY.encode_ordinary(text))
+    talk = f"curator: well\n{name} it is done\n  note: still the agent\ncurator: thanks"
+    least = size(" it is done\n  note: still the agent\n")
+    rows = spark.createDataFrame([(1, talk), (2, talk[talk.index(name):]), (3, "curator: the agent: no\nreviewer: no")], "doc_id long, text string")
+    loss = {r.doc_id: r.loss_tokens for r in pack_texts(rows, {1: limits(256)}, F.lit(TURNS)).collect()}
+    assert least <= loss[1] <= least + size(name) + 2 and least <= loss[2] <= least + size(name) + 2 and loss[3] == 0

@@ -39,25 +39,40 @@ def limits(capacity: int, segments: int | None = None, loss: int | None = None)
 
 
 def _bears_loss(words: Words, mode: np.ndarray, roles: tuple[str, ...]) -> np.ndarray:
-    """Whether each word bears loss. A turn begins at ``name:`` at the start of a line and lasts to the next one."""
+    """Whether each word bears loss. A turn begins at ``name:`` at the start of a line and lasts to the next one.
+
+    Case, blanks and format characters make no other name; blanks before a name that isn't a role's begin no turn, though.
+    """
     of_row = np.repeat(mode, np.diff(words.rows))
     bears = of_row == ALL
     m = len(words.which)
     if not (of_row == TURNS).any():
         return bears
     if not words.derived:
-        strip = pc.utf8_trim_whitespace(words.distinct)
+        strip = pc.utf8_lower(pc.replace_substring_regex(words.distinct, r"[\s\p{Z}\p{Cf}]+", ""))
+        matches = lambda values, pattern: np.asarray(pc.match_substring_regex(values, pattern).to_numpy(zero_copy_only=False), bool)
         words.derived.update(
-            name=np.asarray(pc.match_substring_regex(words.distinct, r"^\pL+$").to_numpy(zero_copy_only=False), bool),
-            colon=np.asarray(pc.starts_with(words.distinct, ":").to_numpy(zero_copy_only=False), bool),
-            line=np.asarray(pc.match_substring_regex(words.distinct, r"[\n\r]").to_numpy(zero_copy_only=False), bool),
-            role=np.asarray(pc.is_in(strip, pa.array(roles, strip.type)).to_numpy(zero_copy_only=False), bool),
+            name=matches(words.distinct, r"^\pL+$"),
+            colon=matches(words.distinct, "^:"),
+            after=matches(strip, "^:"),
+            line=matches(words.distinct, r"[\n\r]"),
+            format=matches(words.distinct, r"^\p{Cf}+$"),
+            blank=matches(words.distinct, r"^[\s\p{Z}\p{Cf}]+$"),
+            role=np.asarray(pc.is_in(strip, pa.array([r.lower() for r in roles], strip.type)).to_numpy(zero_copy_only=False), bool),
         )
-    name, colon, line, role = (words.derived[x][words.which] for x in ("name", "colon", "line", "role"))
+    name, colon, after, line, skipped, blank, role = (words.derived[x][words.which] for x in ("name", "colon", "after", "line", "format", "blank", "role"))
     first = np.zeros(m, bool)
     first[words.rows[:-1][words.rows[:-1] < m]] = True
-    opens = (first | np.append(False, line[:-1])) & name & np.append(colon[1:], False) & ~np.append(first[1:], False)
-    at = np.maximum.accumulate(np.where(first | opens, np.arange(m), 0))
+    at, begins = np.arange(m), first | np.append(False, line[:-1])
+    begun = np.maximum.accumulate(np.where(begins, at, -1))
+
+    def starts(skip: np.ndarray) -> np.ndarray:
+        """Whether nothing but words to skip lies between the start of its line and each word."""
+        return begun > np.append(-1, np.maximum.accumulate(np.where(skip, -1, at))[:-1])
+
+    role &= starts(blank & ~line) & np.append(after[1:], False)
+    opens = (role | (starts(skipped) & name & np.append(colon[1:], False))) & ~np.append(first[1:], False)
+    at = np.maximum.accumulate(np.where(first | opens, at, 0))
     return np.where(of_row == TURNS, (opens & role)[at], bears)
 
 
