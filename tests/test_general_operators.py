@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.hashing import hash_longs
 from weftgraph.functions.keys import canonical_guid, simple_name
-from weftgraph.operators import snapshots
 from weftgraph.operators.components import connected_components
-from weftgraph.operators.hierarchies import descendants, hierarchy, running_total
+from weftgraph.operators import hierarchies, numbering, snapshots
+from weftgraph.operators.hierarchies import Hierarchy, hierarchy, running_total
 from weftgraph.operators.history import attribute_history
 from weftgraph.operators.orphans import orphan_references, presence_intervals
 
@@ -187,8 +187,7 @@ def brute_tree(links):
     return out
 
 
-@pytest.mark.parametrize("kind", ["random", "chain", "star", "circles"])
-def test_hierarchy_equals_brute_force(spark, kind):
+def tree_links(kind):
     rng = random.Random(7)
     names = [f"n{i:03}" for i in range(150)]
     if kind == "random":
@@ -199,10 +198,21 @@ def test_hierarchy_equals_brute_force(spark, kind):
         links = [(n, "hub") for n in names] + [("hub", "top")]
     else:
         links = [(n, rng.choice(names)) for n in names] + [("self", "self"), ("below", "self")]
-    links += links[:5]
-    found = {r.node: r for r in hierarchy(spark.createDataFrame([(*x, 1, "p") for x in links], "node string, parent string, size int, path string")).collect()}
+    return links + links[:5]
+
+
+@pytest.mark.parametrize("kind,segment", [("random", 1024), ("random", 2), ("chain", 16), ("star", 1024), ("circles", 3)])
+def test_hierarchy_equals_brute_force(spark, monkeypatch, kind, segment):
+    monkeypatch.setattr(hierarchies, "SEGMENT", segment)
+    links = tree_links(kind)
+    tree = Hierarchy(spark.createDataFrame([(*x, 1, "p") for x in links], "node string, parent string, size int, path string"))
+    found = {r.node: r for r in tree.nodes().join(tree.paths(), "node").collect()}
     want = brute_tree(links)
     assert {n: (r.root, r.depth, r.path) for n, r in found.items()} == want
+    assert rows_of(tree.nodes(intervals=False)) == rows_of(tree.nodes().select("node", "parent", "root", "depth", "on_circle"))
+    pairs = {(a, n, len(p) - 1 - i) for n, (_, _, p) in want.items() if p for i, a in enumerate(p[:-1])}
+    listed = [tuple(r) for r in tree.descendants().collect()]
+    assert len(listed) == len(pairs) and set(listed) == pairs
     for n, r in found.items():
         if r.depth >= 0:  # the descendants are exactly the interval
             below = {m for m, (_, _, p) in want.items() if p and n in p[:-1]}
@@ -212,6 +222,21 @@ def test_hierarchy_equals_brute_force(spark, kind):
             assert r.on_circle == any(n == c for c in _circle_nodes(links, n))
 
 
+def test_nodes_whose_hashes_meet_are_told_apart(spark, monkeypatch):
+    """With hashes of a few bits at first, so that exceptions, and exceptions to them, are needed."""
+    monkeypatch.setattr(numbering, "hashed", lambda value, seed: F.pmod(F.xxhash64(F.lit(seed), value), F.lit([90, 200, 400][seed] if seed < 3 else 2**62)))
+    links = tree_links("random")
+    found = {r.node: (r.root, r.depth, r.path) for r in hierarchy(spark.createDataFrame(links, "node string, parent string")).collect()}
+    assert found == brute_tree(links)
+
+
+def test_a_chain_of_thousands(spark):
+    """Work in proportion to the nodes, whatever the depth."""
+    rows = spark.range(20_000).select(F.col("id").alias("node"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"))
+    found = Hierarchy(rows).nodes()
+    assert found.where("root = 0 and depth = node and first = node and last = 19999").count() == 20_000
+
+
 def _circle_nodes(links, node):
     parent = {}
     for n, up in links:
@@ -227,8 +252,8 @@ def _circle_nodes(links, node):
 def test_hierarchy_of_nothing_and_descendants(spark):
     schema = "node string, parent string"
     assert hierarchy(spark.createDataFrame([], schema)).isEmpty()
-    tree = hierarchy(spark.createDataFrame([("b", "a"), ("c", "b"), ("l", "l")], schema))
-    assert rows_of(descendants(tree)) == [("a", "b", 1), ("a", "c", 2), ("b", "c", 1)]
+    tree = Hierarchy(spark.createDataFrame([("b", "a"), ("c", "b"), ("l", "l")], schema))
+    assert rows_of(tree.descendants()) == [("a", "b", 1), ("a", "c", 2), ("b", "c", 1)]
 
 
 def test_running_total_of_a_group_that_is_cut(spark):

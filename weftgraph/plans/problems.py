@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import canonical_guid, is_guid, stripped
-from ..operators.hierarchies import hierarchy
+from ..operators.hierarchies import Hierarchy
 from ..operators.history import attribute_history
 from ..operators.orphans import orphan_references, presence_intervals
 from ..operators.snapshots import relative_path, snapshot_changes
@@ -84,25 +84,31 @@ def prefab_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.select("node", F.lit(None).cast("string").alias("parent")).unionByName(based)
 
 
-def prefab_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchy(prefab_links(spark, sf_dir))
+def prefab_tree(spark: SparkSession, sf_dir: str) -> Hierarchy:
+    return Hierarchy(prefab_links(spark, sf_dir))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topmost ancestor and depth of every prefab with a parent; depth -1 at circles."""
-    return prefab_tree(spark, sf_dir).where("parent is not null").select(
+    return prefab_tree(spark, sf_dir).nodes(intervals=False).where("parent is not null").select(
         F.col("node").alias("guid"), F.col("root").alias("root_guid"), F.col("depth").cast("int").alias("tree_depth")
     )
 
 
 def p3_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every prefab's full path, depth, root and interval of descendants."""
-    return prefab_tree(spark, sf_dir).select(
+    """Every prefab's full path, depth, root and number of descendants."""
+    tree = prefab_tree(spark, sf_dir)
+    return tree.nodes().join(tree.paths(), "node").select(
         F.col("node").alias("guid"), F.col("parent").alias("parent_guid"), F.col("root").alias("root_guid"), F.col("depth").alias("tree_depth"),
-        F.array_join("path", "/").alias("full_path"), "first", "last", "n_descendants", "on_circle",
+        F.array_join("path", "/").alias("full_path"), "n_descendants", "on_circle",
     )
 
 
+def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prefab with every prefab that is based on it, directly or not, and the steps between them."""
+    return prefab_tree(spark, sf_dir).descendants().select(F.col("node").alias("guid"), F.col("descendant").alias("based_guid"), F.col("distance").alias("steps"))
+
+
 def edge_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every version of every semantic edge's rationale."""
     edges = table(spark, sf_dir, "semantic_edges").select(
@@ -135,6 +141,7 @@ QUERIES = {
     "p2_report": p2_report,
     "p3_found": p3_found,
     "p3_paths": p3_paths,
+    "p3_descendants": p3_descendants,
     "p4_found": p4_found,
     "p5_found": p5_found,
 }
@@ -164,14 +171,10 @@ found AS (
   UNION ALL SELECT DISTINCT record_id, 'type_nodes', ref_key, strftime(generated_at, '%Y-%m') FROM type_orphans)
 """
 
-SQL = {
-    "p2_found": _P2 + "SELECT * FROM found",
-    "p2_report": _P2
-    + "SELECT ref_table, ref_month, count(*) AS n_references, count(DISTINCT record_id) AS n_records, count(DISTINCT ref_key) AS n_keys FROM found GROUP BY 1, 2",
-    "p3_found": r"""
+_P3 = r"""
 WITH RECURSIVE recs AS (
   SELECT regexp_replace(lower(guid), '[\s{}()\-]', '', 'g') AS g, generated_at, record_id, asset_path, dependencies FROM manifest_assets),
-prefabs AS (
+prefabs AS MATERIALIZED (
   SELECT g, arg_max(dependencies, (generated_at, record_id)) AS named FROM recs WHERE regexp_matches(g, '^[0-9a-f]{32}$')
   GROUP BY g HAVING bool_or(lower(asset_path) LIKE '%.prefab')),
 named AS (SELECT g, regexp_replace(lower(unnest(named)), '[\s{}()\-]', '', 'g') AS parent FROM prefabs),
@@ -180,10 +183,27 @@ climb(g, top, steps, seen, looped) AS (
   SELECT g, parent, 1, [g, parent], false FROM links
   UNION ALL
   SELECT c.g, l.parent, c.steps + 1, list_append(c.seen, l.parent), list_contains(c.seen, l.parent)
-  FROM climb c JOIN links l ON c.top = l.g WHERE NOT c.looped)
-SELECT g AS guid, CASE WHEN looped THEN list_min(list_slice(seen, list_position(seen, top), len(seen))) ELSE top END AS root_guid,
-       CASE WHEN looped THEN -1 ELSE steps END AS tree_depth
-FROM climb WHERE looped OR top NOT IN (SELECT g FROM links)""",
+  FROM climb c JOIN links l ON c.top = l.g WHERE NOT c.looped),
+placed AS MATERIALIZED (
+  SELECT g, top, seen, CASE WHEN looped THEN list_min(list_slice(seen, list_position(seen, top), len(seen))) ELSE top END AS root,
+         CASE WHEN looped THEN -1 ELSE steps END AS depth
+  FROM climb WHERE looped OR top NOT IN (SELECT g FROM links))
+"""
+
+SQL = {
+    "p2_found": _P2 + "SELECT * FROM found",
+    "p2_report": _P2
+    + "SELECT ref_table, ref_month, count(*) AS n_references, count(DISTINCT record_id) AS n_records, count(DISTINCT ref_key) AS n_keys FROM found GROUP BY 1, 2",
+    "p3_found": _P3 + """
+SELECT g AS guid, root AS root_guid, depth AS tree_depth FROM placed""",
+    "p3_paths": _P3 + """,
+below AS (SELECT up AS g, count(*) AS n FROM (SELECT unnest(seen[2:]) AS up FROM placed WHERE depth > 0) GROUP BY 1)
+SELECT p.g AS guid, l.parent AS parent_guid, coalesce(t.root, p.g) AS root_guid, coalesce(t.depth, 0) AS tree_depth,
+       CASE WHEN t.depth = -1 THEN NULL ELSE coalesce(array_to_string(list_reverse(t.seen), '/'), p.g) END AS full_path,
+       CASE WHEN t.depth = -1 THEN NULL ELSE coalesce(b.n, 0) END AS n_descendants, coalesce(t.top = p.g, false) AND coalesce(t.depth = -1, false) AS on_circle
+FROM prefabs p LEFT JOIN links l USING (g) LEFT JOIN placed t USING (g) LEFT JOIN below b USING (g)""",
+    "p3_descendants": _P3 + """
+SELECT unnest(seen[2:]) AS guid, g AS based_guid, unnest(range(1, len(seen)))::INT AS steps FROM placed WHERE depth > 0""",
     "p4_found": r"""
 WITH held AS (
   SELECT from_key, upper(trim(rel)) AS rel, to_key, coalesce(valid_from, created_at) AS s, invalid_at AS x, created_at, record_id,

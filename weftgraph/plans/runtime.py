@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
@@ -27,29 +28,41 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; only where none is set, one of our own."""
+    """The folder named in ``spark.checkpoint.dir``; where none is set, one of our own, on a single machine only.
+
+    On a cluster each executor would write to its own disk, so a session without the setting is refused there.
+    """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(named)
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {context.master} share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
         named = context.getCheckpointDir()
     return named.rstrip("/")
 
 
+def _delete(where, system) -> None:
+    try:
+        system.delete(where, True)
+    except Exception:  # the JVM has already ended  # noqa: BLE001
+        pass
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage.
 
     A written table survives the loss of executors and is read again in the
     columns needed.  ``drop`` removes the tables of earlier rounds of a loop;
-    what the returned DataFrame still reads is left for the cluster's own
-    cleaning of the shared folder.
+    what returned DataFrames still read stays until the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self._count = 0
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        atexit.register(_delete, where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()))
 
     def write(self, frame: DataFrame) -> DataFrame:
         """Run the plan once and return a DataFrame that reads its result."""
