@@ -3,8 +3,9 @@
 A word is held as the ids of its parts and, beside them, the rank of every
 adjacent pair.  The smallest rank is found by a scan, its boundary is deleted
 and the two neighbouring ranks are refreshed, until no pair has a rank.  Words
-of one byte length share one matrix: each step deletes one boundary of each
-row, so the rows stay aligned and every step is a few array operations.
+of near byte lengths share one matrix, the shorter ones filled up with ``PAD``,
+which pairs with nothing: each step deletes one boundary of each row, so the
+rows stay aligned and every step is a few array operations.
 
 Words longer than ``SHORT`` bytes would make the repeated scan quadratic; they
 keep the same ranks in a heap over a linked list, which gives the same merges.
@@ -21,8 +22,10 @@ import pyarrow as pa
 
 #: Longest word, in bytes, that is merged by scanning.
 SHORT = 256
-#: Fewer words of one length than this aren't worth a matrix.
-FEW = 3
+#: Longest words, in bytes, of each matrix of words: any length up to 16, then in growing steps.
+WIDTHS = (*range(1, 17), 20, 24, 32, 48, 64, 96, 128, 192, SHORT)
+#: Fills up rows behind a word's end; no token has this id.
+PAD = np.int32(2**31 - 2)
 #: Cells of one matrix of words; bounds the memory of a step.
 CELLS = 1 << 18
 NONE = np.int32(2**31 - 1)
@@ -90,19 +93,21 @@ class MergeTable:
         return out.reshape(shape)
 
 
-def _merge_rows(words: np.ndarray, table: MergeTable):
-    """Merge equally long words, a row of bytes each; yields (row numbers, their final parts)."""
-    rows = np.arange(len(words))
+def _merge_rows(words: np.ndarray, sizes: np.ndarray, table: MergeTable):
+    """Merge short words, a row of bytes each of which the first ``sizes`` count; yields (row numbers, their final parts, how many count)."""
+    rows, sizes = np.arange(len(words)), sizes.copy()
     ids = table.byte_ids[words]
     ranks = table.byte_pairs[words[:, :-1].astype(np.uint16) << 8 | words[:, 1:]]
+    behind = np.arange(words.shape[1]) >= sizes[:, None]
+    ids[behind], ranks[behind[:, 1:]] = PAD, NONE
     while ids.shape[1] > 1:
         at = ranks.argmin(axis=1)
         least = ranks[np.arange(len(rows)), at]
         done = least == NONE
         if done.any():
-            yield rows[done], ids[done]
+            yield rows[done], ids[done], sizes[done]
             on = ~done
-            rows, ids, ranks, at, least = rows[on], ids[on], ranks[on], at[on], least[on]
+            rows, ids, ranks, at, least, sizes = rows[on], ids[on], ranks[on], at[on], least[on], sizes[on]
             if not len(rows):
                 return
         n, every = ids.shape[1], np.arange(len(rows))
@@ -110,6 +115,7 @@ def _merge_rows(words: np.ndarray, table: MergeTable):
         keep[every, at + 1] = False
         ids = ids[keep].reshape(len(rows), n - 1)
         ids[every, at] = least
+        sizes -= 1
         if n == 2:
             break
         keep = np.ones(ranks.shape, dtype=bool)
@@ -119,7 +125,7 @@ def _merge_rows(words: np.ndarray, table: MergeTable):
         ranks[before, at[before] - 1] = table.ranks(ids[before, at[before] - 1], ids[before, at[before]])
         after = np.flatnonzero(at < n - 2)
         ranks[after, at[after]] = table.ranks(ids[after, at[after]], ids[after, at[after] + 1])
-    yield rows, ids
+    yield rows, ids, sizes
 
 
 def _merge_long(data: np.ndarray, table: MergeTable) -> np.ndarray:
@@ -172,29 +178,29 @@ def merge_words(words: pa.Array, table: MergeTable) -> tuple[np.ndarray, np.ndar
     offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + n + 1]
     data = np.frombuffer(words.buffers()[2], np.uint8) if offsets[-1] else np.zeros(0, np.uint8)
     lengths = np.diff(offsets)
-    found: list[tuple[np.ndarray, np.ndarray]] = []
-    alone: list[int] = []
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     order = np.argsort(lengths, kind="stable")
-    cuts = np.searchsorted(lengths[order], np.arange(1, SHORT + 2))
-    for length in range(1, SHORT + 1):
-        rows = order[cuts[length - 1] : cuts[length]]
-        if len(rows) < FEW:
-            alone += rows.tolist()
-            continue
-        step = max(1, CELLS // length)
-        for lo in range(0, len(rows), step):
-            some = rows[lo : lo + step]
-            spelt = data[offsets[some][:, None] + np.arange(length)]
-            found += [(some[r], parts) for r, parts in _merge_rows(spelt, table)]
-    for row in [*alone, *order[cuts[SHORT] :]]:
-        found.append((np.array([row]), _merge_long(data[offsets[row] : offsets[row + 1]], table)[None, :]))
+    widths = [w for w in WIDTHS if w < SHORT] + [SHORT]
+    cuts = np.searchsorted(lengths[order], [0, *widths], side="right")
+    for width, first, last in zip(widths, cuts, cuts[1:]):
+        step = max(1, CELLS // width)
+        for lo in range(first, last, step):
+            some = order[lo : min(lo + step, last)]
+            place = np.arange(width)
+            spelt = data[np.minimum(offsets[some][:, None] + place, len(data) - 1)]
+            found += [(some[r], parts, sizes) for r, parts, sizes in _merge_rows(spelt, lengths[some], table)]
+    for row in order[cuts[-1] :]:
+        parts = _merge_long(data[offsets[row] : offsets[row + 1]], table)
+        found.append((np.array([row]), parts[None, :], np.array([len(parts)])))
     counts = np.zeros(n, np.int64)
-    for rows, parts in found:
-        counts[rows] = parts.shape[1]
+    for rows, _, sizes in found:
+        counts[rows] = sizes
     starts = np.concatenate(([0], np.cumsum(counts)))
     flat = np.empty(starts[-1], np.int32)
-    for rows, parts in found:
-        flat[starts[rows][:, None] + np.arange(parts.shape[1])] = parts
+    for rows, parts, sizes in found:
+        place = np.arange(parts.shape[1])
+        held = place < sizes[:, None]
+        flat[(starts[rows][:, None] + place)[held]] = parts[held]
     return flat, starts
 
 
