@@ -4,9 +4,11 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph.llm import clusters as module
 from weftgraph.llm.clusters import Clusters, similar_sets
+from weftgraph.operators import numbering
 from weftgraph.plans.runtime import Scratch
 
 SCHEMA = "community_id long, names array<string>, sid string, cluster int"
@@ -57,12 +59,21 @@ def test_pairs_equal_brute_force(spark, seed, hot):
 
 
 def test_crowded_buckets_lose_no_pair(spark):
-    """With buckets of two sets nearly everything takes the exact way on rare members."""
+    """With buckets of two sets nearly everything is banded again, or takes the exact way on rare members."""
     rows = [(i, sorted({f"m{x}" for x in names} | {"everywhere"}), None, 1) for i, names in enumerate([random.Random(s).sample(range(12), 5) for s in range(80)])]
     held = Clusters(spark.createDataFrame(rows, SCHEMA), "community_id", "names")
-    links = {tuple(r) for r in similar_sets(held.sets, Scratch(spark, "t"), bucket=2).collect()}
     sets = {r.sid: set(r.members) for r in held.sets.collect()}
-    assert links == {(a, b) for a, b in combinations(sorted(sets), 2) if 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+    for levels in (module.LEVELS, module.LEVELS[:1], ((48, 2), (216, 4), (900, 6))):
+        links = {tuple(r) for r in similar_sets(held.sets, Scratch(spark, "t"), levels=levels, bucket=2).collect()}
+        assert links == {(a, b) for a, b in combinations(sorted(sets), 2) if 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
+
+
+def test_sets_whose_hashes_meet_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(numbering, "hashed", lambda value, seed: F.pmod(F.xxhash64(F.lit(seed), value), F.lit([60, 90][seed] if seed < 2 else 2**62)))
+    rows = records(4)
+    held = Clusters(spark.createDataFrame(rows, SCHEMA), "community_id", "names")
+    assert held.sets.select("sid").distinct().count() == held.sets.count() == len(set(map(frozenset, brute_pairs(rows)[1].values())))
+    assert {tuple(r) for r in held.pairs().collect()} == brute_pairs(rows)[0]
 
 
 def test_frequent_members_of_small_sets(spark):
@@ -96,4 +107,5 @@ def test_loose_clusters_are_divided_around_medoids(spark):
 def test_nothing_to_cluster(spark):
     empty = Clusters(spark.createDataFrame([], SCHEMA), "community_id", "names")
     assert empty.pairs().isEmpty() and empty.described().isEmpty()
-    assert module.BANDS * module.ROWS == 96
+    for bands, rows in module.LEVELS:
+        assert (1 - 0.5**rows) ** bands < 1.1e-6

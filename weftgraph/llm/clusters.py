@@ -6,8 +6,10 @@ components are the clusters.  A loose component is also divided into groups
 around its medoids, the sets with the most similar neighbours.
 
 Buckets of a band that grow beyond ``BUCKET`` sets (a member that most sets
-hold) aren't paired; the sets in them are joined on the rarest part of their
-members instead, which finds every similar pair among them exactly.
+hold) aren't paired; the sets in them are banded again with more rows, which
+divides them, in as many bands as keep every pair as likely to meet.  What is
+still crowded then is joined on the rarest part of its members, which finds
+every similar pair among them exactly.
 """
 
 from __future__ import annotations
@@ -21,16 +23,19 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import hash_longs
 from ..operators.components import connected_components
+from ..operators.numbering import Numbering
 from ..plans.runtime import Scratch, ship
 
 #: Least Jaccard similarity, as a fraction: one half.
 SIMILAR = (1, 2)
-#: At similarity 1/2 a pair shares no bucket with probability 0.75 ** 48 = 1e-6.
-BANDS, ROWS = 48, 2
+#: Bands and rows, level by level. At similarity 1/2 a pair shares no bucket with probability 0.75 ** 48 = (15 / 16) ** 216 = 1e-6.
+LEVELS = ((48, 2), (216, 4))
 #: Largest bucket whose sets are paired with each other.
 BUCKET = 64
-#: Records of one cluster that meet the whole cluster in one task, about.
+#: Records of one cluster, or sets with one member, that meet all others of it in one task, about.
 PART = 2048
+#: Crowded buckets that may be broadcast; beyond it Spark joins by shuffle.
+BROADCAST_ROWS = 200_000
 #: A component with fewer than this share of its possible pairs is loose.
 DENSE = 0.5
 #: Members named for a cluster.
@@ -67,39 +72,62 @@ def _pairs_of(groups: DataFrame) -> DataFrame:
     )
 
 
-def similar_sets(sets: DataFrame, scratch: Scratch, similar: tuple[int, int] = SIMILAR, bands: int = BANDS, rows: int = ROWS, bucket: int = BUCKET) -> DataFrame:
-    """``(a, b)``, a < b: the pairs of ``sets`` (sid, members) whose Jaccard similarity is at least ``similar``."""
+def _rare_pairs(crowded: DataFrame, similar: tuple[int, int], part: int) -> DataFrame:
+    """``(a, b)``: every pair of ``crowded`` (sid, members) that can be similar, by the rarest members of the two.
+
+    Of two similar sets the larger shares a member of its first size - ceil(size * p / q) + 1, in any common order, with
+    the smaller one's first size - ceil(size * 2p / (p + q)) + 1; a frequent member is seldom among the latter.
+    A member that is among many sets' first meets them part by part.
+    """
     p, q = similar
-    banded = (
-        sets.select("sid", "members").mapInArrow(lambda batches: _band_batches(batches, bands, rows), "sid long, keys array<long>")
-        .select("sid", F.explode("keys").alias("key")).repartition("key")
-    )
-    sizes = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = scratch.write(banded.join(sizes, "key"))
-    few = _pairs_of(shared.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("sid").alias("ids")))
-
-    crowded = sets.join(shared.where(F.col("n") > bucket).select("sid").distinct(), "sid", "left_semi")
     held = crowded.select("sid", F.size("members").alias("size"), F.explode("members").alias("member"))
     rare = held.groupBy("member").agg(F.count("*").alias("held_by"))
     ranked = held.join(rare, "member").withColumn("rank", F.row_number().over(Window.partitionBy("sid").orderBy("held_by", "member")))
-    # Of two similar sets the larger shares a member of its first size - ceil(size * p / q) + 1, in any common order, with
-    # the smaller one's first size - ceil(size * 2p / (p + q)) + 1; a frequent member is seldom among the latter.
-    probe = ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * p / q) + 1).select("member", "sid", "size", "rank")
+    ranked = ranked.withColumn("parts", F.ceil(F.col("held_by") / part).cast("int"))
+    probe = ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * p / q) + 1)
+    probe = probe.select("member", F.pmod(F.xxhash64("sid"), "parts").cast("int").alias("part"), "sid", "size", "rank")
     index = ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * 2 * p / (p + q)) + 1)
-    index = index.select("member", F.col("sid").alias("other"), F.col("size").alias("small"), F.col("rank").alias("at"))
+    index = index.select("member", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("sid").alias("other"), F.col("size").alias("small"), F.col("rank").alias("at"))
     # What two sets can still share after the first member they share.
     reach = 1 + F.least(F.col("size") - F.col("rank"), F.col("small") - F.col("at"))
-    rest = (
-        probe.join(index, "member")
+    return (
+        probe.join(index, ["member", "part"])
         .where("size > small or (size = small and sid < other)")
         .where((F.col("small") * q >= F.col("size") * p) & (reach * (p + q) >= (F.col("size") + F.col("small")) * p))
         .select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b"))
     )
 
-    candidates = few.unionByName(rest).distinct()
-    left, right = sets.select(F.col("sid").alias("a"), F.col("members").alias("ma")), sets.select(F.col("sid").alias("b"), F.col("members").alias("mb"))
-    both = F.size(F.array_intersect("ma", "mb"))
-    return candidates.join(left, "a").join(right, "b").where(both * (p + q) >= (F.size("ma") + F.size("mb")) * p).select("a", "b")
+
+def similar_sets(
+    sets: DataFrame, scratch: Scratch, similar: tuple[int, int] = SIMILAR, levels: tuple[tuple[int, int], ...] = LEVELS, bucket: int = BUCKET
+) -> DataFrame:
+    """``(a, b)``, a < b: the pairs of ``sets`` (sid, members, seconds) whose Jaccard similarity is at least ``similar``.
+
+    ``members`` and ``seconds`` are two independent 64-bit hashes of each name; a pair must be similar by both.
+    """
+    p, q = similar
+    rest, found = sets.select("sid", "members"), []
+    for bands, rows in levels:
+        banded = rest.mapInArrow(lambda batches, n=bands, m=rows: _band_batches(batches, n, m), "sid long, keys array<long>")
+        banded = banded.select("sid", F.explode("keys").alias("key"))
+        sizes = banded.groupBy("key").agg(F.count("*").alias("n"))
+        large = scratch.write(sizes.where(F.col("n") > bucket).select("key"))
+        number = large.count()
+        hint = F.broadcast(large) if number <= BROADCAST_ROWS else large
+        small = banded.join(hint, "key", "left_anti") if number else banded
+        found.append(_pairs_of(small.groupBy("key").agg(F.collect_list("sid").alias("ids")).where("size(ids) > 1")))
+        if not number:
+            break
+        rest = scratch.write(rest.join(banded.join(hint, "key", "left_semi").select("sid").distinct(), "sid", "left_semi"))
+    else:
+        found.append(_rare_pairs(rest, similar, PART))
+    candidates = found[0]
+    for more in found[1:]:
+        candidates = candidates.unionByName(more)
+    left = sets.select(F.col("sid").alias("a"), F.col("members").alias("ma"), F.col("seconds").alias("sa"))
+    right = sets.select(F.col("sid").alias("b"), F.col("members").alias("mb"), F.col("seconds").alias("sb"))
+    close = lambda x, y: F.size(F.array_intersect(x, y)) * (p + q) >= (F.size(x) + F.size(y)) * p
+    return candidates.distinct().join(left, "a").join(right, "b").where(close("ma", "mb")).where(close("sa", "sb")).select("a", "b")
 
 
 class Clusters:
@@ -117,14 +145,14 @@ class Clusters:
         self.scratch = Scratch(spark, "clusters")
         clean = F.array_sort(F.array_distinct(F.filter(members, lambda x: x.isNotNull())))
         rows = records.select(F.col(key).alias("id"), clean.alias("names")).where("id is not null and size(names) > 0")
-        rows = rows.groupBy("id").agg(F.min("names").alias("names")).withColumn("sid", F.xxhash64("names"))
-        #: (id, sid, names) of every record with members.
-        self.records = self.scratch.write(rows)
-        hashed = F.transform("names", lambda x: F.xxhash64(x))
-        #: (sid, members, copies): the distinct sets.
-        self.sets = self.scratch.write(
-            self.records.groupBy("sid").agg(F.first("names").alias("names"), F.count("*").alias("copies")).select("sid", hashed.alias("members"), "copies")
-        )
+        rows = self.scratch.write(rows.groupBy("id").agg(F.min("names").alias("names")))
+        distinct = self.scratch.write(rows.groupBy("names").agg(F.count("*").alias("copies")))
+        numbers = Numbering(distinct.select(F.col("names").alias("value")), self.scratch)
+        #: (id, names, sid) of every record with members; sid is the number of its set.
+        self.records = numbers.of(rows, "names", "sid")
+        hashed = lambda *seed: F.transform("names", lambda x: F.xxhash64(*seed, x))
+        #: (sid, members, seconds, copies): the distinct sets, by two hashes of each name.
+        self.sets = self.scratch.write(numbers.of(distinct, "names", "sid").select("sid", hashed().alias("members"), hashed(F.lit(7)).alias("seconds"), "copies"))
         #: (a, b): similar pairs of distinct sets.
         self.links = self.scratch.write(similar_sets(self.sets, self.scratch, similar))
         self._components: DataFrame | None = None
