@@ -58,6 +58,32 @@ def test_pieces_end_at_natural_breaks(cut):
         assert p.piece.endswith("。")
 
 
+def test_levels_are_split_in_turn(spark):
+    """Sections that fit stay whole; only what doesn't fit is split, and at the next level."""
+    fits = "namespace A\n{\n    public sealed class One\n    {\n        int a;\n    }\n\n    internal class Two\n    {\n        int b;\n    }\n}\n"
+    large = "# Notes\n" + "\n\n".join(f"Paragraph {i} is short. It has two sentences." for i in range(9)) + "\n"
+    talk = "".join(f"{who}: question {i} about the scene, asked at some length\n" for i in range(12) for who in ("user", "agent"))
+    rows = spark.createDataFrame([(1, fits + large), (2, talk), (3, "using A;\nusing B;\n" * 40)], "doc_id long, text string")
+    found = {}
+    for r in split_texts(rows, [(1, 64, 0)]).orderBy("doc_id", "piece_no").collect():
+        found.setdefault(r.doc_id, []).append(r)
+    for whole in (fits[fits.index("    public sealed") : fits.index("    internal")], fits[fits.index("    internal") :], "Paragraph 4 is short. It has two sentences."):
+        assert any(whole.strip() in r.piece for r in found[1])
+    assert all(r.ends_at in ("section", "paragraph") for r in found[1][:-1])
+    assert all(r.ends_at == "paragraph" and r.piece.startswith(("user:", "agent:")) for r in found[2][:-1])
+    assert all(r.ends_at == "sentence" and r.piece.startswith("using") for r in found[3][:-1])
+
+
+def test_a_part_is_left_out_only_if_it_does_not_fit(cut):
+    """Greedy: behind each piece, up to the next break of its level or a higher one, there is more than what was left."""
+    for (budget, doc), pieces in cut.items():
+        if TEXTS[doc] in (PROSE, HEADED):
+            capacity = next(c for b, c, _ in BUDGETS if b == budget)
+            for p, after in zip(pieces, pieces[1:]):
+                rest = TEXTS[doc][p.char_start : p.char_end] + after.piece[p.char_end - after.char_start :]
+                assert tokens(rest) > capacity
+
+
 def test_overlap_is_near_the_stated_one_in_prose(cut):
     for p in cut[1, TEXTS.index(PROSE)][1:]:
         assert p.shared_tokens >= 12

@@ -1,15 +1,19 @@
 """Cutting texts above a token limit into overlapping pieces at natural breaks.
 
 Separators form a hierarchy: section, paragraph, sentence or line, word, and
-character.  A piece takes in as much as the limit allows and ends at the last
-break of the highest rank in reach; a lower rank is tried only where the higher
-ones give no end.  Sizes are exact: within a text, words are tokenized on their
-own, so a piece's tokens are the sum of its words', and the few pieces that cut
-a word are counted again with the cut word.
+character.  A text is split at its sections; a section that is too large at its
+paragraphs, such a paragraph at its sentences, and so on down to characters.
+The parts are then packed greedily, in order: a piece begins with the overlap,
+the tail of the piece before, and takes in whole parts while they fit.  A part
+leaves room for the overlap, so none is ever cut for it.
+
+Sizes are exact: within a text, words are tokenized on their own, so a piece's
+tokens are the sum of its words', and the few pieces that cut a word are counted
+again with the cut word.
 
 Spark scans and splits the texts into words; in each task, all texts of a block
-are cut together, one piece of each at a time, by array operations.  The plan
-has no shuffle.
+are split together, level by level, and packed together, one piece of each at a
+time, by array operations.  The plan has no shuffle.
 """
 
 from __future__ import annotations
@@ -30,15 +34,17 @@ from .tokens import Words, gather, rank_file, word_batches, words_of
 LEVELS = ("text end", "section", "paragraph", "sentence", "word", "character")
 #: A word of more tokens may be cut, into parts of about ``PART`` tokens.
 LONG_WORD, PART = 32, 8
-#: A section or paragraph break must leave a piece at least this full.
-FULL = 0.5
+#: By how much less a text is filled, try by try, whose cut words take more tokens together than apart; then its bytes are counted.
+SHORTER = (0, PART, 2 * PART)
 
 # White space, and line ends, in the syntax of Arrow's regular expressions.
 _WS = r"[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 _LINE_END = r"\r\n|[\n\r\x{0B}\x{0C}\x{85}\x{2028}\x{2029}]"
 _CLOSERS = r"[\"'”’»)\]}」』】）]*$"
-# What opens a section at the start of a line: headings, rules, declarations.
-_SECTION = r"^(#+|-{3,}|={3,}|\*{3,}|namespace|class|interface|struct|enum|module|def|function|import|using)$"
+# What opens a section at the start of a line: headings and rules, or declarations behind modifiers. Two blank lines do, too.
+_RULE = r"^(#+|-{3,}|={3,}|\*{3,})$"
+_DECLARES = r"^ ?(namespace|class|interface|struct|enum|record|module|def|function)$"
+_MODIFIER = r"^ ?(public|internal|private|protected|sealed|abstract|static|partial|export|final|async)$"
 
 
 def _matches(words: pa.Array, pattern: str) -> np.ndarray:
@@ -66,7 +72,8 @@ def _features(words: Words, table: MergeTable) -> dict[str, np.ndarray]:
     return {
         "units": sizes, "starts": starts, "known": {}, "space": space, "opens": _matches(distinct, f"^{_WS}"),
         "ends": _matches(distinct, r"[.!?…]" + _CLOSERS), "wide_ends": _matches(distinct, r"[。！？]" + _CLOSERS),
-        "section": _matches(distinct, _SECTION), "lines": np.asarray(pc.count_substring_regex(distinct, _LINE_END)).astype(np.int64) * space,
+        "rule": _matches(distinct, _RULE), "declares": _matches(distinct, _DECLARES), "modifier": _matches(distinct, _MODIFIER),
+        "name": _matches(distinct, r"^\pL+$"), "colon": _matches(distinct, "^:"), "lines": np.asarray(pc.count_substring_regex(distinct, _LINE_END)).astype(np.int64) * space,
     }
 
 
@@ -86,6 +93,9 @@ class Units:
         self.word_start, self.word_end = np.append(self.word_at[of_word], len(unit)), np.append(self.word_at[of_word + 1], len(unit))
         total = lambda x: np.concatenate(([0], np.cumsum(x)))
         self.tokens, self.chars, self.bytes = total(tokens), total(unit_chars), total(unit_bytes)
+        # What a unit can't exceed in any piece: a part of a word, and white space, may join others in one word.
+        joins = words.derived["space"][words.which[of_word]] | (np.diff(self.word_at)[of_word] > 1)
+        self.bound = total(np.where(joins, unit_bytes, tokens))
         #: Exact tokens of whole words before each unit that starts a word.
         exact = np.zeros(len(unit), np.int64)
         exact[self.word_at[:-1]] = words.counts[words.which]
@@ -101,7 +111,8 @@ class Units:
         level, blank = np.full(units + 1, 5, np.int8), np.arange(units + 1)
         if not m:
             return level, blank
-        space, opens, ends, wide_ends, section, lines = (words.derived[x][which] for x in ("space", "opens", "ends", "wide_ends", "section", "lines"))
+        held = {x: words.derived[x][which] for x in ("space", "opens", "ends", "wide_ends", "rule", "declares", "modifier", "name", "colon", "lines")}
+        space, opens, ends, wide_ends, lines = (held[x] for x in ("space", "opens", "ends", "wide_ends", "lines"))
         at = np.arange(m)
         first = np.zeros(m, bool)
         first[words.rows[:-1][words.rows[:-1] < m]] = True
@@ -118,9 +129,15 @@ class Units:
         previous = np.concatenate(([0], at[:-1]))
         rank[opens | space[previous]] = 4
         rank[(around > 0) | (ends[previous] & opens) | wide_ends[previous]] = 3
-        rank[around > 1] = 2
-        headed = np.append(section, False)[next_solid]
-        rank[(around > 0) & headed] = 1
+        # A line's first word, a name with a colon, opens a speaker's turn or a top-level entry.
+        fresh = first | np.append(False, lines[:-1] > 0)
+        rank[(around > 1) | (fresh & held["name"] & np.append(held["colon"][1:], False))] = 2
+        # A declaration behind nothing but modifiers makes its line's first word a heading.
+        begun = np.maximum.accumulate(np.where(fresh, at, 0))
+        other = np.concatenate(([-1], np.maximum.accumulate(np.where(space | held["modifier"], -1, at))[:-1]))
+        headed = np.append(held["rule"], False)
+        headed[next_solid[begun[held["declares"] & (other < begun)]]] = True
+        rank[((around > 0) & headed[next_solid]) | (around > 2)] = 1
         level[self.word_at[:-1]] = rank
         run = np.maximum(before_start, row_start)
         in_blank = np.repeat(space, np.diff(self.word_at))
@@ -159,29 +176,38 @@ def _parts(words: list[str], tokens: list[int], table: MergeTable) -> tuple[list
             parts[of] = [y for k, x in enumerate(parts[of]) for y in cut.get(k, [x])]
 
 
-def cut_texts(units: Units, capacity: int, overlap: int, rows: np.ndarray) -> tuple[np.ndarray, ...]:
-    """``row, start, end, level``, in units, of the pieces of the given rows."""
-    total, level = units.tokens, units.level
-    place = np.arange(len(level))
-    last = [np.maximum.accumulate(np.where(level <= k, place, -1)) for k in (1, 2, 3, 4)]
-    ends = units.rows[rows + 1]
+def _parts_of(total: np.ndarray, level: np.ndarray, starts: np.ndarray, ends: np.ndarray, room: int) -> np.ndarray:
+    """The ends of the parts of some texts, in order: what is larger than ``room`` is split at the breaks of one level after the other."""
+    cuts = np.union1d(starts, ends)
+    for k in range(1, 6):
+        lo, hi = cuts[:-1], cuts[1:]
+        large = (lo < ends[np.searchsorted(starts, lo, side="right") - 1]) & (total[hi] - total[lo] > room)
+        if not large.any():
+            break
+        breaks = np.flatnonzero(level[: cuts[-1]] <= k)
+        breaks = breaks[breaks > cuts[0]]
+        cuts = np.union1d(cuts, breaks[large[np.searchsorted(cuts, breaks, side="right") - 1]])
+    return cuts
+
+
+def cut_texts(units: Units, total: np.ndarray, capacity: int, overlap: int, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+    """``row, start, end, level``, in units, of the pieces of the given rows (in order), by the running ``total`` of the units' sizes."""
+    level, ends = units.level, units.rows[rows + 1]
     start, reached = units.rows[rows].copy(), units.rows[rows].copy()
+    cuts = np.zeros(len(level), np.int64)
+    at = _parts_of(total, level, start, ends, capacity - overlap)
+    cuts[at] = at
+    last = np.maximum.accumulate(cuts)
+    fill = lambda start, ends: last[np.minimum(np.searchsorted(total, total[start] + capacity, side="right") - 1, ends)]
     found = []
     while len(rows):
-        far = np.minimum(np.searchsorted(total, total[start] + capacity, side="right") - 1, ends)
-        stuck = far <= reached
-        if stuck.any():  # the overlap leaves no room for one more unit
+        end = fill(start, ends)
+        stuck = end <= reached
+        if stuck.any():  # the overlap leaves no room for the next part, which then is one unit
             start = np.where(stuck, reached, start)
-            far = np.where(stuck, np.maximum(np.minimum(np.searchsorted(total, total[start] + capacity, side="right") - 1, ends), start + 1), far)
-        half = np.searchsorted(total, total[start] + int(capacity * FULL), side="left")
-        end, rank = far.copy(), np.full(len(rows), 5)
-        for k, floor in ((4, reached), (3, reached), (2, np.maximum(reached, half)), (1, np.maximum(reached, half))):
-            here = last[k - 1][far]
-            better = here > floor
-            end[better], rank[better] = here[better], k
-        done = far == ends
-        end[done], rank[done] = ends[done], 0
-        found.append((rows, start, end, rank))
+            end = np.where(stuck, np.maximum(fill(start, ends), start + 1), end)
+        done = end == ends
+        found.append((rows, start, end, np.where(done, 0, level[end])))
         on = ~done
         rows, ends, start, end = rows[on], ends[on], start[on], end[on]
         back = np.searchsorted(total, total[end] - overlap, side="left")
@@ -235,9 +261,9 @@ def _piece_batches(batches: Iterator[pa.RecordBatch], content: bytes, budgets: l
         offsets = np.frombuffer(flat.buffers()[1], np.int32)
         text = memoryview(flat.buffers()[2])[offsets[flat.offset] : offsets[flat.offset + len(flat)]]
         for budget, capacity, overlap in budgets:
-            pending, limit, kept = np.flatnonzero(np.diff(whole) > capacity), capacity, []
-            while len(pending):
-                row, start, end, rank = cut_texts(units, limit, overlap, pending)
+            pending, kept = np.flatnonzero(np.diff(whole) > capacity), []
+            for total, limit in [*((units.tokens, capacity - less) for less in SHORTER), (units.bound, capacity)]:
+                row, start, end, rank = cut_texts(units, total, limit, overlap, pending)
                 order = np.lexsort((end, row))
                 row, start, end, rank = (x[order] for x in (row, start, end, rank))
                 shared = _shared(units, text, row, start, end, overlap, table)
@@ -246,8 +272,8 @@ def _piece_batches(batches: Iterator[pa.RecordBatch], content: bytes, budgets: l
                 pending = np.unique(row[count > capacity])
                 fine = ~np.isin(row, pending)
                 kept.append(tuple(x[fine] for x in (row, start, end, rank, count, shared)))
-                if len(pending) and (limit := limit - PART) < LONG_WORD:
-                    raise RuntimeError(f"texts {pending[:5]} of a block can't be cut to {capacity} tokens")
+                if not len(pending):
+                    break
             if not kept:
                 continue
             row, start, end, rank, count, shared = (np.concatenate(x) for x in zip(*kept))
@@ -280,7 +306,8 @@ def split_texts(
     code points), ``n_tokens`` (of the piece encoded on its own, never above the
     capacity), ``shared_tokens`` (of the piece before, at most the overlap and
     short of it by less than one word or word part), ``ends_at`` (the break's
-    rank) and ``piece`` (the text).  Pieces cover the whole text in order.
+    rank) and ``piece`` (the text).  Pieces cover the whole text in order; a
+    piece leaves out a part only if that doesn't fit.
 
     Texts within the capacity, null and empty ones give no rows; repeated keys
     are cut each on its own.  A capacity below 64 tokens, or an overlap above
