@@ -97,6 +97,14 @@ def test_edges(spark):
         pack_texts(spark.createDataFrame([], schema), {1: (0, 1, 1)})
 
 
+def test_null_and_repeated_keys_crowd_no_block(spark):
+    rows = [(None, f"text {i}") for i in range(300)] + [(7, "same")] * 200 + [(i, f"other {i}") for i in range(8, 90)]
+    found = pack_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), {1: limits(64)}, block=16).collect()
+    assert Counter(r.doc_id for r in found) == Counter(k for k, _ in rows)
+    assert max(Counter(r.container_id >> 24 for r in found).values()) <= 4 * 16
+    assert all(n <= 64 for n in Counter({c: sum(r.n_tokens for r in found if r.container_id == c) for c in {r.container_id for r in found}}).values())
+
+
 def test_only_texts_above_the_capacity_are_split_under_the_production_limits(spark):
     from weftgraph.llm.queries import p7_containers
 

@@ -9,7 +9,8 @@ room that is left, so that items of opposite shape meet.
 Texts are sized where they are scanned (:mod:`.tokens`).  Their sizes, not the
 texts, are shuffled into blocks of bounded size by a hash of the key and part,
 and each block is packed by one task; at most one container in a block is left
-part empty.
+part empty.  A block that null or repeated keys crowd is cut by the rows' places
+in their tasks.
 """
 
 from __future__ import annotations
@@ -20,15 +21,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.runtime import ship
+from ..plans.runtime import Scratch, ship
 from .tokens import Words, rank_file, word_batches, words_of
 
-#: Texts in a block, about.
-BLOCK = 2048
+#: Texts in a block, about, and how many times as many make a block crowded.
+BLOCK, CROWDED = 2048, 4
+#: Crowded blocks that may be broadcast; beyond it Spark joins by shuffle.
+BROADCAST_ROWS = 200_000
 #: Which tokens bear loss: all, none (a prompt), or those of some speakers' turns.
 ALL, NOTHING, TURNS = 0, 1, 2
 
@@ -92,6 +96,7 @@ def _cut(tokens: np.ndarray, loss: np.ndarray, capacity: int, most_loss: int) ->
 
 
 def _item_batches(batches: Iterator[pa.RecordBatch], content: bytes, budgets: list[tuple[int, int, int, int]], roles: tuple[str, ...], names: list[str], whole_texts: bool) -> Iterator[pa.RecordBatch]:
+    seen = TaskContext.get().partitionId() << 40
     for block, words in word_batches(batches, content):
         mode = np.asarray(block.column(1)).astype(np.int64)
         counts = words.counts[words.which]
@@ -120,7 +125,8 @@ def _item_batches(batches: Iterator[pa.RecordBatch], content: bytes, budgets: li
                 rows = [np.concatenate(x) for x in zip(rows, np.array(more, np.int64).T)]
             columns = [pa.array(np.full(len(rows[0]), budget), pa.int32()), block.column(0).take(pa.array(rows[0]))]
             columns += [pa.array(x, pa.int32()) for x in rows[1:]]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(seen + rows[0], pa.int64())], names)
+        seen += block.num_rows
 
 
 def pack(tokens: np.ndarray, loss: np.ndarray, capacity: int, segments: int, most_loss: int) -> np.ndarray:
@@ -163,9 +169,9 @@ def pack(tokens: np.ndarray, loss: np.ndarray, capacity: int, segments: int, mos
 
 def _packer(key: str, budgets: dict[int, tuple[int, int, int]]):
     def run(items: pd.DataFrame) -> pd.DataFrame:
-        items = items.sort_values([key, "part_no"], kind="stable", na_position="first")
+        items = items.sort_values([key, "place", "part_no"], kind="stable", na_position="first")
         number = pack(items["n_tokens"].to_numpy(), items["loss_tokens"].to_numpy(), *budgets[int(items["budget_id"].iat[0])])
-        return items.assign(container_id=(items["block"].to_numpy() << 24) | number).drop(columns="block")
+        return items.assign(container_id=(items["block"].to_numpy() << 24) | number).drop(columns=["block", "place"])
 
     return run
 
@@ -194,9 +200,8 @@ def pack_texts(
     or ``TURNS`` of the ``roles``).
 
     Null and empty texts are items of no tokens and get a container, too; equal
-    texts are packed apart; an empty table gives no rows.  The key should be
-    unique: repeated keys come out as often as they came in, but share a block.
-    Other columns are not read.
+    texts are packed apart; an empty table gives no rows.  Repeated keys come
+    out as often as they came in.  Other columns are not read.
     """
     for tokens, segments, most in budgets.values():
         if tokens < 1 or segments < 1 or most < 1:
@@ -210,9 +215,16 @@ def pack_texts(
     blocks = max(1, -(-documents.count() // block))
     mode = F.coalesce(loss, F.lit(ALL)) if loss is not None else F.lit(ALL)
     rows = documents.select(F.col(key), mode.cast("int").alias("_mode"), words_of(F.col(text)).alias("_words"))
-    flat, names = [(b, *x) for b, x in budgets.items()], [f.name for f in fields]
-    items = rows.mapInArrow(lambda batches: _item_batches(batches, shared.value, flat, roles, names, whole_texts), T.StructType(fields))
-    items = items.withColumn("block", F.pmod(F.xxhash64(key, "part_no"), F.lit(blocks)))
+    flat, names = [(b, *x) for b, x in budgets.items()], [*(f.name for f in fields), "place"]
+    items = rows.mapInArrow(lambda batches: _item_batches(batches, shared.value, flat, roles, names, whole_texts), T.StructType([*fields, T.StructField("place", T.LongType())]))
+    items = Scratch(spark, "items").write(items.withColumn("block", F.pmod(F.xxhash64(key, "part_no"), F.lit(blocks))))
+    sizes = items.groupBy("budget_id", "block").agg(F.count("*").alias("n"))
+    crowded = Scratch(spark, "crowded").write(sizes.where(F.col("n") > CROWDED * block).select("budget_id", "block", F.ceil(F.col("n") / block).cast("long").alias("parts")))
+    if number := crowded.count():
+        items = items.join(F.broadcast(crowded) if number <= BROADCAST_ROWS else crowded, ["budget_id", "block"], "left")
+        # Blocks beyond the hashed ones: each crowded block has its own range of numbers.
+        part = F.pmod(F.xxhash64("place", "part_no"), F.col("parts"))
+        items = items.withColumn("block", F.when(F.col("parts").isNull(), F.col("block")).otherwise(F.lit(blocks) + part * blocks + F.col("block"))).drop("parts")
     return items.groupBy("budget_id", "block").applyInPandas(
         _packer(key, budgets), T.StructType([*fields, T.StructField("container_id", T.LongType())])
     ).select("budget_id", "container_id", key, *(f.name for f in numbers))
