@@ -3,8 +3,9 @@
 A reference has a composite key of which any part may be null.  References are
 grouped by their null mask; each mask is anti-joined with the targets on its
 non-null columns and on the targets' period, so every join is a plain equi-join
-with one range condition.  A key of very many references meets its targets part by
-part, in as many tasks.  Presence intervals come from hash aggregations.
+with one range condition.  Of a key with very many references the repeated ones
+count as one, and the others meet its targets part by part, in as many tasks.
+Presence intervals come from hash aggregations.
 """
 
 from __future__ import annotations
@@ -25,14 +26,22 @@ HOT_ROWS = 1 << 16
 BROADCAST_ROWS = 200_000
 
 
-def _hot_keys(rows: DataFrame, held: list[str], own: str, hot_rows: int) -> DataFrame | None:
-    """The keys with more than ``hot_rows`` rows and the parts they are cut into; None if there is none."""
-    counted = rows.groupBy(*(F.col(c).alias(f"{own}h{i}") for i, c in enumerate(held))).agg(F.ceil(F.count("*") / hot_rows).cast("int").alias(f"{own}parts"))
+def _hot_keys(rows: DataFrame, on: list[str], own: str, hot_rows: int) -> DataFrame | None:
+    """The keys, partly null ones too, with more than ``hot_rows`` rows and the parts they are cut into; None if there is none."""
+    counted = rows.groupBy(*(F.col(c).alias(f"{own}h{i}") for i, c in enumerate(on))).agg(F.ceil(F.count("*") / hot_rows).cast("int").alias(f"{own}parts"))
     hot = Scratch(rows.sparkSession, "hot_keys").write(counted.where(F.col(f"{own}parts") > 1))
     number = hot.count()
     return None if not number else F.broadcast(hot) if number <= BROADCAST_ROWS else hot
 
 
+def _groupable(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_groupable(f.dataType) for f in kind)
+    if isinstance(kind, T.ArrayType):
+        return _groupable(kind.elementType)
+    return isinstance(kind, T.AtomicType) and not isinstance(kind, T.VariantType)
+
+
 def presence_intervals(seen: DataFrame, gone: DataFrame, key: str, seen_at: str, gone_at: str) -> DataFrame:
     """``(key, valid_from, valid_to)``: from a sighting up to the next removal.
 
@@ -77,7 +86,8 @@ def orphan_references(
     reported, nor is a reference without a time.  Repeated references come out
     as often as they came in, with all their columns; targets may repeat.
     Keys of more than ``hot_rows`` references are cut into parts by the other
-    columns, which changes no result.
+    columns, after repeated rows have become one with a count (unless a column,
+    a map for instance, can't be compared); this changes no result.
     """
     if match not in MATCHES:
         raise ValueError(f"match must be one of {MATCHES}")
@@ -87,24 +97,37 @@ def orphan_references(
         own += "_"
     period = [F.col(valid_from).alias(f"{own}from"), F.col(valid_to).alias(f"{own}to")]
 
+    masks = [m for m in product((False, True), repeat=len(on)) if not all(m) and (match != "simple" or not any(m))]
+    some_null = reduce(Column.__or__, [F.col(c).isNull() for c in on])
+    asked = references.where(~some_null) if match != "partial" else references.where(reduce(Column.__or__, [F.col(c).isNotNull() for c in on]))
+    hot = _hot_keys(asked, on, own, hot_rows)
+    part, of, copies = f"{own}part", f"{own}of", f"{own}copies"
+    comparable = [f.name for f in references.schema if _groupable(f.dataType)]
+    columns = [F.col(f"`{c}`") for c in references.columns]
+    both = lambda sides: reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"{own}h{i}")) for i, c in sides])
+    absent = lambda rows, keys, same: rows.join(keys, reduce(Column.__and__, [*same, F.col(f"{own}from").isNull() | (F.col(f"{own}from") <= F.col(at)), F.col(f"{own}to").isNull() | (F.col(f"{own}to") > F.col(at))]), "left_anti")
+
     def masked(mask: tuple[bool, ...]) -> DataFrame:
-        held = [c for c, null in zip(on, mask) if not null]
+        held = [(i, c) for i, (c, null) in enumerate(zip(on, mask)) if not null]
         rows = references.where(reduce(Column.__and__, [F.col(c).isNull() if null else F.col(c).isNotNull() for c, null in zip(on, mask)]))
         if any(mask) and match == "full":
             return rows
-        keys = targets.select(*(F.col(c).alias(f"{own}{i}") for i, c in enumerate(held)), *period).dropna(subset=[f"{own}{i}" for i in range(len(held))])
-        same = [F.col(c) == F.col(f"{own}{i}") for i, c in enumerate(held)]
-        if (hot := _hot_keys(rows, held, own, hot_rows)) is not None:
-            part, parts = f"{own}part", F.coalesce(f"{own}parts", F.lit(1))
-            found = lambda side: reduce(Column.__and__, [F.col(c) == F.col(f"{own}h{i}") for i, c in enumerate(side)])
-            plain = [rows[f"`{f.name}`"] for f in references.schema if isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.VariantType)]
-            rows = rows.join(hot, found(held), "left").withColumn(part, F.pmod(F.xxhash64(*plain), parts).cast("int"))
-            rows = rows.drop(f"{own}parts", *(f"{own}h{i}" for i in range(len(held))))
-            keys = keys.join(hot, found([f"{own}{i}" for i in range(len(held))]), "left").withColumn(f"{own}of", F.explode(F.sequence(F.lit(0), parts - 1)))
-            same.append(F.col(part) == F.col(f"{own}of"))
-        begun = F.col(f"{own}from").isNull() | (F.col(f"{own}from") <= F.col(at))
-        then = begun & (F.col(f"{own}to").isNull() | (F.col(f"{own}to") > F.col(at)))
-        return rows.join(keys, reduce(Column.__and__, [*same, then]), "left_anti").drop(f"{own}part")
+        keys = targets.select(*(F.col(c).alias(f"{own}{i}") for i, c in held), *period).dropna(subset=[f"{own}{i}" for i, _ in held])
+        same = [F.col(c) == F.col(f"{own}{i}") for i, c in held]
+        if hot is None:
+            return absent(rows, keys, same)
+        crowds = hot.where(reduce(Column.__and__, [F.col(f"{own}h{i}").isNull() if null else F.col(f"{own}h{i}").isNotNull() for i, null in enumerate(mask)]))
+        few = absent(rows.join(crowds, both(enumerate(on)), "left_anti"), keys, same)
+        many = rows.join(crowds, both(enumerate(on)))
+        many = many.drop(*(f"{own}h{i}" for i in range(len(on))))
+        once = len(comparable) == len(references.columns)
+        if once:
+            many = many.groupBy(*columns, f"{own}parts").agg(F.count("*").alias(copies))
+        many = many.withColumn(part, F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in comparable)), F.col(f"{own}parts")).cast("int"))
+        wide = keys.join(crowds, both([(i, f"{own}{i}") for i, _ in held])).withColumn(of, F.explode(F.sequence(F.lit(0), F.col(f"{own}parts") - 1)))
+        many = absent(many, wide.drop(f"{own}parts", *(f"{own}h{i}" for i in range(len(on)))), [*same, F.col(part) == F.col(of)])
+        if once:
+            many = many.withColumn(copies, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies))))
+        return few.unionByName(many.select(*columns))
 
-    masks = [m for m in product((False, True), repeat=len(on)) if not all(m) and (match != "simple" or not any(m))]
     return reduce(DataFrame.unionByName, map(masked, masks))
