@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from ..functions.hashing import hash_longs, key_pair
 from ..plans.runtime import Scratch, ship
 
-#: Rows of one snapshot in a bucket, about.
-BUCKET_ROWS = 8192
+#: Rows of one snapshot in a bucket, about, and of how many such snapshots in all, at most.
+BUCKET_ROWS, BUCKET_SNAPSHOTS = 8192, 32
 #: Cells for each row of a bucket, round by round; a table peels up to about 0.8 differing pairs a cell.
 CELLS_PER_ROW = (0.6, 1.5, 3.0)
 #: Delivered snapshots that may be broadcast; beyond it Spark joins by shuffle.
@@ -152,8 +152,10 @@ def snapshot_changes(
             "g", "version", "n", F.lag("version").over(order).isNotNull().alias("has_prev"), F.lead("version").over(order).alias("next_no")
         )
     )
-    most, number = delivered.groupBy("version").agg(F.sum("n").alias("n"), F.count("*").alias("c")).agg(F.max("n"), F.sum("c")).first()
-    buckets = max(1, -(-(most or 0) // bucket_rows))
+    most, number, total = delivered.groupBy("version").agg(F.sum("n").alias("n"), F.count("*").alias("c")).agg(F.max("n"), F.sum("c"), F.sum("n")).first()
+    # Many snapshots make smaller buckets, so that no task grows with their number.
+    buckets = max(1, -(-(most or 0) // bucket_rows), -(-(total or 0) // (bucket_rows * BUCKET_SNAPSHOTS)))
+    bucket_rows = min(bucket_rows, max(16, -(-(most or 0) // buckets)))
 
     steps = delivered.where("has_prev or next_no is not null").select(F.col("g").alias("sg"), F.col("version").alias("sv"), "has_prev", "next_no")
     if (number or 0) <= BROADCAST_ROWS:
