@@ -2,9 +2,9 @@
 
 Each file's text is cut at its type declarations and each type at its methods
 by regular expressions inside Spark; names are then resolved by joins over the
-declared types.  Known gaps: types nested in others take the namespace's key,
-overloads are told apart by their number of parameters only, and receivers that
-are themselves calls aren't resolved.
+declared types.  Known gaps: what follows a nested type counts as the nested
+type's, calls choose among overloads by their number of arguments only, and
+receivers that are themselves calls aren't resolved.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ SYSTEM_NAMES = {
 _MODIFIERS = "public|internal|private|protected|sealed|abstract|static|partial|readonly|ref|unsafe|new|virtual|override|async|extern|const|volatile|event"
 _NOT_TYPES = f"^({_MODIFIERS}|return|throw|else|await|yield|case|goto|using|namespace|in|is|as|out|where|class|struct|enum|interface|record|delegate)$"
 _DECLARES = rf"(?m)(?=^[ \t]*(?:(?:{_MODIFIERS})\s+)*(?:class|interface|struct|enum|record)\s+[A-Za-z_]\w*)"
+_STARTS = r"\A\s*" + f"(?:(?:{_MODIFIERS})\\s+)*" + r"(?:class|interface|struct|enum|record)\s+[A-Za-z_]"
 _TYPE = r"(class|interface|struct|enum|record(?:\s+(?:class|struct))?)\s+([A-Za-z_]\w*)\s*(?:<[^>{(]*>)?\s*(?:\([^)]*\))?\s*(?::\s*([^{;]+))?"
 _NAME = r"[A-Za-z_][\w.]*(?:<[^<>;(){}]*>)?(?:\[\])?\??"
 _METHOD = rf"(?<![\w.])({_NAME})\s+([A-Za-z_]\w*)\s*(?:<[^<>()]*>)?\(([^()]*)\)"
@@ -63,21 +64,41 @@ def simple_type(name: Column) -> Column:
     return F.when(bare.endswith("]"), F.lit("")).otherwise(F.coalesce(known[bare], bare))
 
 
+def _enclosing() -> Column:
+    """For each of a file's ``parts`` (cut at the declarations) the names of the types around it, outermost first, joined by dots.
+
+    A declaration lies in those before it whose braces are still open.
+    """
+    braces = lambda p: F.size(F.split(bare_code(p), r"\{")) - F.size(F.split(bare_code(p), r"\}"))
+    name = lambda p: F.when(p.rlike(_STARTS), _group(p, _TYPE, 2)).otherwise("")
+    each = F.transform("parts", lambda p: F.struct(braces(p).alias("b"), name(p).alias("n")))
+    placed = F.transform(each, lambda x, i: F.struct(F.aggregate(F.slice(each, F.lit(1), i), F.lit(0), lambda t, y: t + y["b"]).alias("d"), x["n"].alias("n")))
+    start = F.struct(F.array().cast("array<struct<d:int,n:string>>").alias("open"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        around = F.filter(acc["open"], lambda o: o["d"] < x["d"])
+        here = F.when(x["n"] != "", F.array(x)).otherwise(F.array().cast("array<struct<d:int,n:string>>"))
+        return F.struct(F.concat(around, here).alias("open"), F.concat(acc["out"], F.array(F.array_join(F.transform(around, lambda o: o["n"]), "."))).alias("out"))
+
+    return F.aggregate(placed, start, step)["out"]
+
+
 def declared_types(files: DataFrame) -> DataFrame:
     """One row per type declaration of ``files`` (path, content), with its code and what stands before it."""
     parts = files.where(F.col("content").isNotNull()).select(
         "path", F.sha1(F.encode("content", "UTF-8")).alias("content_hash"), _group(F.col("content"), r"(?m)^\s*namespace\s+([A-Za-z_][\w.]*)", 1).alias("ns"),
         _all(F.col("content"), r"(?m)^\s*using\s+([A-Za-z_][\w.]*)\s*;", 1).alias("usings"), F.split("content", _DECLARES).alias("parts"),
     )
-    each = parts.select("path", "content_hash", "ns", "usings", F.posexplode("parts").alias("at", "code"), "parts")
-    each = each.where(F.col("code").rlike(r"\A\s*" + f"(?:(?:{_MODIFIERS})\\s+)*" + r"(?:class|interface|struct|enum|record)\s+[A-Za-z_]"))
+    parts = parts.withColumn("outer", _enclosing())
+    each = parts.select("path", "content_hash", "ns", "usings", F.posexplode("parts").alias("at", "code"), "parts", "outer").where(F.col("code").rlike(_STARTS))
+    outer = F.element_at("outer", F.col("at") + 1)
     kind, name, bases = (_group(F.col("code"), _TYPE, i) for i in (1, 2, 3))
     before = F.when(F.col("at") > 0, _group(F.element_at("parts", F.col("at")), r"(?s)([^{}]*)\z", 1)).otherwise("")
     label = F.when(kind.rlike("struct"), "Struct").when(kind == "interface", "Interface").when(kind == "enum", "Enum").otherwise("Class")
     plain_bases = F.regexp_replace(F.regexp_replace(bases, r"<[^<>]*>", ""), r"\bwhere\b.*", "")
     return each.select(
         "path", "content_hash", "ns", "usings", "at", "code", label.alias("label"), name.alias("name"), before.alias("before"),
-        F.concat_ws(".", F.when(F.col("ns") != "", F.col("ns")), name).alias("key"),
+        F.concat_ws(".", F.when(F.col("ns") != "", F.col("ns")), F.when(outer != "", outer), name).alias("key"),
         F.filter(F.transform(F.split(plain_bases, ","), stripped), lambda b: b != "").alias("bases"),
         bare_code(F.regexp_replace(F.col("code"), r"(?s)\A[^{]*\{", "")).alias("body"),
     )
@@ -116,6 +137,13 @@ def methods(types: DataFrame) -> DataFrame:
     return rows.withColumn("key", F.concat("owner", F.lit("."), "name", F.lit("("), F.array_join(F.transform("param_types", simple_type), ","), F.lit(")")))
 
 
+def method_nodes(held: DataFrame) -> DataFrame:
+    """Each method once, with its signature and text for embedding."""
+    signature = F.concat("returns", F.lit(" "), "owner", F.lit("."), "name", F.lit("("), F.array_join("param_types", ", "), F.lit(")"))
+    rows = held.groupBy("key").agg(F.min("name").alias("name"), F.min("owner_name").alias("owner_name"), F.min("path").alias("path"), F.min(signature).alias("signature"))
+    return rows.select(F.lit("Method").alias("label"), "key", "name", "path", "signature", embed_text(F.col("name"), F.col("owner_name"), F.col("signature")).alias("embed_text"))
+
+
 def code_edges(types: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``(rel, src, dst)`` between types, methods, namespaces and addresses."""
     scratch = scratch or Scratch(types.sparkSession, "extraction")
@@ -247,7 +275,7 @@ def project_graph(files: DataFrame, manifest: DataFrame | None = None) -> tuple[
     rows = [
         type_nodes(types).select("label", "key", "name", "path", "doc", "signature", "embed_text", "content_hash"),
         types.where("ns <> ''").select(F.lit("Namespace").alias("label"), F.col("ns").alias("key"), F.col("ns").alias("name")).distinct(),
-        methods(types).select(F.lit("Method").alias("label"), "key", "name", "path").dropDuplicates(["key"]),
+        method_nodes(methods(types)),
         known.select(F.lit("Asset").alias("label"), F.col("guid").alias("key"), F.element_at(F.split("path", "/"), -1).alias("name"), "path"),
         entries.select(F.lit("AddressableGroup").alias("label"), F.concat(F.lit("addrgroup:"), "group").alias("key"), F.col("group").alias("name"), "path").dropDuplicates(["key"]),
         entries.select(F.lit("AddressableEntry").alias("label"), F.concat(F.lit("addr:"), "address").alias("key"), F.col("address").alias("name")).distinct(),
@@ -255,8 +283,11 @@ def project_graph(files: DataFrame, manifest: DataFrame | None = None) -> tuple[
     nodes = rows[0]
     for more in rows[1:]:
         nodes = nodes.unionByName(more, allowMissingColumns=True)
-    nodes = scratch.write(nodes)
     edges = scratch.write(code_edges(types, scratch).unionByName(asset_layer).unionByName(address_edges(entries)).distinct())
+    # What a type refers to closes its text for embedding.
+    used = edges.where("rel = 'REFERENCES'").groupBy(F.col("src").alias("key")).agg(F.array_sort(F.collect_set(F.regexp_extract("dst", r"[^.]*$", 0))).alias("used"))
+    uses = F.when(F.col("label").isin("Class", "Interface", "Struct", "Enum") & F.col("used").isNotNull(), F.concat(F.lit("uses "), F.array_join("used", " ")))
+    nodes = scratch.write(nodes.join(used, "key", "left").withColumn("embed_text", F.when(F.col("embed_text").isNotNull(), embed_text(F.col("embed_text"), uses))).drop("used"))
     keys = nodes.select("key").distinct()
     held = edges.join(keys.withColumnRenamed("key", "src"), "src", "left_semi").join(keys.withColumnRenamed("key", "dst"), "dst", "left_semi")
     return nodes, held.select("rel", "src", "dst")

@@ -15,6 +15,7 @@ TRACKED = ("cs", "meta", *REFERRING)
 
 MANIFEST = "schema int, unityVersion string, generatedAt string, assets array<struct<guid string, path string, scriptType string, dependencies array<string>>>"
 GOLDEN = "corpus string, k int, queries array<struct<id string, query string, type string, lang string, should_hit boolean, targets string, expected array<string>>>"
+CURATION = "concepts array<struct<name string, summary string>>, edges array<struct<from string, to string, rel string, confidence double, why string>>"
 TRANSCRIPT = (
     "timestamp timestamp, message struct<role string, content string, usage struct<input_tokens bigint, cache_creation_input_tokens bigint, "
     "cache_read_input_tokens bigint, output_tokens bigint>>"
@@ -31,28 +32,34 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./\\]+)$", 1))
 
 
+def _in_any_case(word: str) -> str:
+    return "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
 def project_files(spark: SparkSession, root: str, kinds: tuple[str, ...] = TRACKED) -> DataFrame:
-    """``(path, modified, content)`` of the files of the given kinds, paths relative to the project.
+    """``(path, modified, content, sha1)`` of the files of the given kinds, paths relative to the project.
 
-    Folders named in ``IGNORED_FOLDERS`` are left out at any depth, whatever
-    their case; unreadable files are skipped.  A project without source folders
-    is taken whole.
+    Only files with these endings, in any case, are opened.  ``sha1`` is of the
+    file's bytes; the content of a file that isn't UTF-8 text (a binary asset)
+    is null.  Folders named in ``IGNORED_FOLDERS`` are left out at any depth,
+    whatever their case; unreadable files are skipped.  A project without source
+    folders is taken whole.
     """
     root = root.rstrip("/")
     rows = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).option("ignoreCorruptFiles", True)
-        .load(_folders(spark, root))
+        .option("pathGlobFilter", "*.{" + ",".join(_in_any_case(k) for k in kinds) + "}").load(_folders(spark, root))
     )
     bare = re.sub("/+", "/", root.split(":", 1)[-1])
     plain = F.regexp_replace(F.regexp_replace("path", r"^[a-z]+:/+", "/"), f"^{re.escape(bare)}/", "")
     ignored = F.exists(F.slice(F.split("path", "/"), 1, F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0))), lambda x: F.lower(x).isin(*(i.lower() for i in IGNORED_FOLDERS)))
-    rows = rows.select(plain.alias("path"), F.col("modificationTime").alias("modified"), F.decode("content", "UTF-8").alias("content"))
-    return rows.where(extension(F.col("path")).isin(*(k.lower() for k in kinds)) & ~ignored)
+    rows = rows.select(plain.alias("path"), F.col("modificationTime").alias("modified"), F.try_validate_utf8(F.col("content").cast("string")).alias("content"), F.sha1("content").alias("sha1"))
+    return rows.where(~ignored)
 
 
 def index_state(files: DataFrame, manifest_hash: str | None = None) -> DataFrame:
     """``(path, sha1)`` of tracked files; a manifest counts as one more file."""
-    rows = files.select("path", F.sha1(F.encode("content", "UTF-8")).alias("sha1"))
+    rows = files.select("path", "sha1")
     if manifest_hash is None:
         return rows
     return rows.unionByName(files.sparkSession.createDataFrame([("::manifest", manifest_hash)], "path string, sha1 string"))
@@ -74,11 +81,36 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return assets.where("guid <> ''")
 
 
+#: The name under which a manifest is looked for in a project's folder.
+MANIFEST_NAME = "asset-manifest.json"
+
+
+def file_hash(spark: SparkSession, path: str) -> str:
+    """The SHA-1 of one file's bytes."""
+    return spark.read.format("binaryFile").load(path).select(F.sha1("content")).first()[0]
+
+
+def discovered_manifest(spark: SparkSession, root: str, files: DataFrame) -> str | None:
+    """The manifest in a project's folder, if there is one that isn't older than the files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{MANIFEST_NAME}")
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return None
+    modified = F.timestamp_millis(F.lit(system.getFileStatus(path).getModificationTime()))
+    return None if manifest_is_stale(files, modified) else path.toString()
+
+
 def manifest_is_stale(files: DataFrame, manifest_modified: Column) -> bool:
     """Whether any file is newer than the manifest."""
     return not files.where(F.col("modified") > manifest_modified).isEmpty()
 
 
+def curation(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The ``concepts`` (name, summary) and ``edges`` (from, to, rel, confidence, why) that a JSON file states."""
+    rows = spark.read.schema(CURATION).option("multiLine", True).json(path)
+    return {name: rows.select(F.explode(name).alias("x")).select("x.*") for name in ("concepts", "edges")}
+
+
 def golden_queries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(GOLDEN).option("multiLine", True).json(path).select("corpus", "k", F.explode("queries").alias("q")).select("corpus", "k", "q.*")
 
