@@ -7,12 +7,21 @@ half, so sums don't depend on their order.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..plans.runtime import ship
 
 # Fixed values of the public 32-bit FNV-1a hash.
 FNV_OFFSET, FNV_PRIME = 2166136261, 16777619
 DIMENSION = 256
+#: The default embedder's name.
+EMBEDDER = f"hash{DIMENSION}"
 
 
 def fnv1a(text: Column) -> Column:
@@ -30,16 +39,49 @@ def embedding_tokens(text: Column) -> Column:
     return F.concat(plain, camel)
 
 
+def weighted_parts(text: Column, dimension: int = DIMENSION) -> Column:
+    """``array<(dim, w)>``: each word, and each pair of characters of it, with its dimension and signed weight."""
+    words = embedding_tokens(text)
+    pairs = F.flatten(
+        F.transform(F.filter(words, lambda t: F.length(t) > 1), lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substring(t, i, F.lit(2))))
+    )
+    of = lambda h, w: F.struct((h % dimension).cast("int").alias("dim"), w.alias("w"))
+    whole = F.transform(F.transform(words, fnv1a), lambda h: of(h, F.when(h >= 2147483648, -1.0).otherwise(1.0)))
+    return F.concat(whole, F.transform(F.transform(pairs, fnv1a), lambda h: of(h, F.when(h % 2 == 1, -0.5).otherwise(0.5))))
+
+
+def _vector_batches(batches: Iterator[pa.RecordBatch], dimension: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lists = batch.column(batch.num_columns - 1)
+        rows = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
+        parts = lists.flatten()
+        dense = np.zeros((len(lists), dimension))
+        np.add.at(dense, (rows, np.asarray(parts.field(0))), np.asarray(parts.field(1)))
+        norms = np.sqrt((dense * dense).sum(axis=1))
+        dense /= np.where(norms > 0, norms, 1)[:, None]
+        column = pa.ListArray.from_arrays(pa.array(np.arange(0, dense.size + 1, dimension, dtype=np.int32)), pa.array(dense.ravel()))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], [*batch.schema.names[:-1], "vector"])
+
+
+def vectors(rows: DataFrame, keys: list[str], text: str, dimension: int = DIMENSION) -> DataFrame:
+    """``(*keys, vector)``: each row's text as a vector of length one, zero for a wordless text; null texts have none.
+
+    All is folded within the row, so nothing is shuffled.
+    """
+    ship(rows.sparkSession)
+    parts = rows.where(F.col(text).isNotNull()).select(*keys, weighted_parts(F.col(text), dimension).alias("_parts"))
+    schema = T.StructType([*(parts.schema[k] for k in keys), T.StructField("vector", T.ArrayType(T.DoubleType()))])
+    return parts.mapInArrow(lambda batches: _vector_batches(batches, dimension), schema)
+
+
+def hash_vectors(rows: DataFrame) -> DataFrame:
+    """``(key, text)`` to ``(key, vector)``: the default embedder."""
+    return vectors(rows, ["key"], "text")
+
+
 def sparse_embedding(rows: DataFrame, keys: list[str], text: str, dimension: int = DIMENSION) -> DataFrame:
-    """``(*keys, dim, weight)``: the dimensions that aren't zero, scaled to length one.
+    """``(*keys, dim, weight)``: the dimensions of :func:`vectors` that aren't zero.
 
     Null and wordless texts have no rows. Keys are one text each.
     """
-    tokens = rows.where(F.col(text).isNotNull()).select(*keys, F.explode(embedding_tokens(F.col(text))).alias("_t"))
-    pairs = F.when(F.length("_t") > 1, F.transform(F.sequence(F.lit(1), F.length("_t") - 1), lambda i: F.substring(F.col("_t"), i, F.lit(2))))
-    parts = tokens.select(*keys, F.explode(F.concat(F.array(F.struct(F.col("_t").alias("s"), F.lit(True).alias("word"))), F.coalesce(F.transform(pairs, lambda p: F.struct(p.alias("s"), F.lit(False).alias("word"))), F.array()))).alias("_p"))
-    hashed = parts.select(*keys, F.col("_p.word").alias("_word"), fnv1a(F.col("_p.s")).alias("_h"))
-    weight = F.when(F.col("_word"), F.when(F.col("_h") >= 2147483648, -1.0).otherwise(1.0)).otherwise(F.when(F.col("_h") % 2 == 1, -0.5).otherwise(0.5))
-    sums = hashed.groupBy(*keys, (F.col("_h") % dimension).cast("int").alias("dim")).agg(F.sum(weight).alias("_w")).where("_w <> 0")
-    norms = sums.groupBy(*keys).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    return sums.join(norms, keys).select(*keys, "dim", (F.col("_w") / F.col("_norm")).alias("weight"))
+    return vectors(rows, keys, text, dimension).select(*keys, F.posexplode("vector").alias("dim", "weight")).where("weight <> 0")

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ..plans.runtime import Scratch
 
-#: Relations along which a change spreads.
+#: Relations along which a change spreads. Fixed values of the graph's model.
 IMPACT_RELATIONS = ("REFERENCES", "DEPENDS_ON", "SCRIPT_OF", "INHERITS", "IMPLEMENTS", "CALLS", "USES_COMPONENT")
+#: Labels of types. Fixed values of the graph's model.
 TYPE_LABELS = ("Class", "Interface", "Struct", "Enum")
 
 
@@ -43,6 +44,15 @@ def neighbors(edges: DataFrame, seeds: DataFrame, nodes: DataFrame, live_only: b
     return out.unionByName(into).join(named, F.col("other") == F.col("key")).drop("other")
 
 
+def dependencies(edges: DataFrame, terms: DataFrame, nodes: DataFrame, term: str = "term") -> DataFrame:
+    """``(term, guid, rel, label, name, key, path)``: what the assets that a term names, by path, guid or name, directly depend on."""
+    terms = terms.select(F.col(term).alias("term")).where("term is not null").distinct()
+    assets = nodes.where("label = 'Asset'").select(F.col("key").alias("guid"), F.explode(F.array_distinct(F.array("key", "path", "name"))).alias("called"))
+    asked = terms.join(assets, F.col("term") == F.col("called")).select("term", "guid")
+    links = edges.where(F.col("rel").isin("DEPENDS_ON", "SCRIPT_OF")).select(F.col("src").alias("guid"), "rel", "dst")
+    return asked.join(links, "guid").join(nodes.select("label", "name", "key", "path"), F.col("dst") == F.col("key")).select("term", "guid", "rel", "label", "name", "key", "path")
+
+
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, scratch: Scratch | None = None) -> DataFrame:
     """``(seed, node, hops)``: what seeds reach along ``src -> dst`` within ``depth`` steps, at the least hops.
 
@@ -153,3 +163,17 @@ def community_summaries(membership: DataFrame, names: DataFrame, edges: DataFram
             F.concat(F.array_join(listed, ", "), F.when(F.col("members") > 8, " …").otherwise("")).alias("listed"),
         )
     )
+
+
+def uncurated_communities(nodes: DataFrame, excludes: tuple[str, ...] = ()) -> DataFrame:
+    """``(name, members, summary, key)`` of the communities found, which nobody has named; those with an excluded word in name or summary are left out."""
+    found = nodes.where("label = 'Concept' and key like 'community:%'")
+    for text in excludes:
+        found = found.where(~F.col("name").contains(text) & ~F.coalesce("summary", F.lit("")).contains(text))
+    return found.select("name", "members", "summary", "key")
+
+
+def duplicate_concepts(nodes: DataFrame) -> DataFrame:
+    """``(name, n, keys)`` of concepts that have one name, apart from case."""
+    named = nodes.where("label = 'Concept'").groupBy(F.lower("name").alias("name")).agg(F.count("*").alias("n"), F.sort_array(F.collect_set("key")).alias("keys"))
+    return named.where("n > 1")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 DETECTED = "community-detection"
 
 
-def _by_hand(author: str = "author") -> Column:
+def by_hand(author: str = "author") -> Column:
     return F.coalesce(F.col(author), F.lit("")) != DETECTED
 
 
@@ -38,9 +38,19 @@ def upsert(old: DataFrame, delta: DataFrame, key: list[str], order: str | None =
 
 def store_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Each ``(rel, src, dst)`` once, if both ends are nodes; dangling edges fall away."""
+    return held_edges(edges, nodes).select("rel", "src", "dst").distinct()
+
+
+def held_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges, with all their columns, whose ends are both nodes."""
     keys = nodes.select("key").distinct()
     held = edges.join(keys.withColumnRenamed("key", "src"), "src", "left_semi").join(keys.withColumnRenamed("key", "dst"), "dst", "left_semi")
-    return held.select("rel", "src", "dst").distinct()
+    return held.select(*edges.columns)
+
+
+def low_confidence(edges: DataFrame, least: float = 0.5) -> DataFrame:
+    """Live semantic edges by hand whose confidence is below ``least``."""
+    return edges.where("source = 'semantic' and invalid_at is null").where(by_hand() & (F.col("confidence") < F.lit(float(least))))
 
 
 def sweep(nodes: DataFrame, extracted: DataFrame, semantic: DataFrame, exempt: tuple[str, ...] = ("Concept",)) -> DataFrame:
@@ -50,7 +60,7 @@ def sweep(nodes: DataFrame, extracted: DataFrame, semantic: DataFrame, exempt: t
     that people made touches it, ``remove`` if none does.
     """
     present = extracted.select("label", "key").distinct().withColumn("_there", F.lit(True))
-    touched = semantic.where(_by_hand()).select(F.explode(F.array("src", "dst")).alias("key")).distinct().withColumn("_touched", F.lit(True))
+    touched = semantic.where(by_hand()).select(F.explode(F.array("src", "dst")).alias("key")).distinct().withColumn("_touched", F.lit(True))
     action = (
         F.when(F.col("_there") | (F.col("source") != "static") | F.col("label").isin(*exempt), "keep")
         .when(F.col("_touched"), "stale").otherwise("remove")
@@ -72,7 +82,7 @@ def supersede(edges: DataFrame, added: DataFrame) -> DataFrame:
 def flag_review(edges: DataFrame, changed: DataFrame, reason: str) -> DataFrame:
     """``edges`` with ``needs_review`` and ``review_reason`` set where a live edge by hand touches a changed key."""
     keys = changed.select("key").distinct()
-    hit = F.coalesce("_src_hit", "_dst_hit", F.lit(False)) & F.col("invalid_at").isNull() & _by_hand()
+    hit = F.coalesce("_src_hit", "_dst_hit", F.lit(False)) & F.col("invalid_at").isNull() & by_hand()
     marked = edges.join(keys.select(F.col("key").alias("src"), F.lit(True).alias("_src_hit")), "src", "left").join(keys.select(F.col("key").alias("dst"), F.lit(True).alias("_dst_hit")), "dst", "left")
     old_flag = F.col("needs_review") if "needs_review" in edges.columns else F.lit(False)
     old_reason = F.col("review_reason") if "review_reason" in edges.columns else F.lit(None).cast("string")
@@ -94,7 +104,7 @@ def confirm(edges: DataFrame, confirmed: DataFrame, now: Column) -> DataFrame:
         F.when(F.col("_yes"), False).otherwise(F.col("needs_review")).alias("needs_review"),
         F.when(F.col("_yes"), None).otherwise(F.col("review_reason")).alias("review_reason"),
         F.when(F.col("_yes"), now).otherwise(old).alias("confirmed_at"),
-    )
+    ).select(*dict.fromkeys([*edges.columns, "needs_review", "review_reason", "confirmed_at"]))
 
 
 def review_queue(edges: DataFrame, nodes: DataFrame) -> DataFrame:

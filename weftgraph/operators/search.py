@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -15,15 +15,17 @@ from ..functions.keys import stripped
 from ..functions.text import query_tokens
 from ..plans.runtime import ship
 
-#: Query vectors that are held in memory at once; more are searched block by block.
-QUERY_BLOCK = 4096
+#: Queries, and searched rows, that meet in one group, about.
+QUERY_BLOCK, CHUNK = 4096, 8192
+#: Bonuses for names equal to, containing and starting with the query, and the least score of high confidence. Fixed values of the graph's model.
+EQUAL, INSIDE, PREFIX, HIGH = 1.0, 0.5, 0.25, 1.0
 
 
 def lexical_score(query: Column, tokens: Column, name: Column, haystack: Column) -> Column:
     """Share of the query's words found, plus bonuses for the name: equal 1, containing 0.5, prefix 0.25. Null: no hit."""
     hits = F.size(F.filter(tokens, lambda t: F.contains(haystack, t)))
     inside = F.contains(name, query)
-    bonus = F.when(name == query, 1.0).otherwise(0.0) + F.when(inside, 0.5).otherwise(0.0) + F.when(F.startswith(name, query), 0.25).otherwise(0.0)
+    bonus = F.when(name == query, EQUAL).otherwise(0.0) + F.when(inside, INSIDE).otherwise(0.0) + F.when(F.startswith(name, query), PREFIX).otherwise(0.0)
     return F.when((hits > 0) | inside, hits.cast("double") / F.size(tokens) + bonus)
 
 
@@ -53,71 +55,76 @@ def candidates(nodes: DataFrame, queries: list[str], k: int = 10, labels: tuple[
     return hits.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= k).drop("_at")
 
 
-def _candidate_batches(batches: Iterator[pa.RecordBatch], ids: list, texts: list[str], tokens: list[list[str]], k: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+def _meet(rows: DataFrame, key: list[str], queries: DataFrame, run: Callable[[pa.Table, pa.Table], pa.Table], schema: T.StructType, block: int, chunk: int) -> DataFrame:
+    """``run`` over every chunk of rows with every block of queries (id, ...).
+
+    Both are cut by hashes of their keys into parts of bounded size; rows are
+    shuffled once for each block and queries once for each chunk.
+    """
+    ship(rows.sparkSession)
+    blocks = max(1, -(-queries.count() // block))
+    chunks = max(rows.sparkSession.sparkContext.defaultParallelism // blocks, -(-rows.count() // chunk), 1)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumn("_c", F.pmod(F.xxhash64(*key), F.lit(chunks)).cast("int")).withColumn("_b", every(blocks))
+    right = queries.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("_c", every(chunks))
+    return left.groupBy("_c", "_b").cogroup(right.groupBy("_c", "_b")).applyInArrow(run, schema)
+
+
+def _candidates_in(rows: pa.Table, queries: pa.Table, k: int, names: list[str]) -> pa.Table:
+    """The best ``k`` of some rows (label, name, key, path, lower-case name and text) for each query (id, text, words)."""
+    ids, texts, tokens = (queries.column(c).to_pylist() for c in ("id", "q", "t"))
+    shown = [rows.column(c).combine_chunks() for c in ("label", "name", "key", "path")]
+    name, text = rows.column("_name").combine_chunks(), rows.column("_text").combine_chunks()
     words: dict[str, list[int]] = {}
     for q, own in enumerate(tokens):
         for t in own:
             words.setdefault(t, []).append(q)
-    counts = np.array([len(own) for own in tokens], np.float64)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        shown, (name, text) = batch.columns[:4], batch.columns[4:]
-        # The rank of each row among the batch's by label and key; null first.
-        keys = pa.table({"l": shown[0], "k": shown[2]})
-        order = np.asarray(pc.sort_indices(keys, [("l", "ascending"), ("k", "ascending")], null_placement="at_start"))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        hits: dict[int, list[np.ndarray]] = {}
-        for t, own in words.items():
-            found = np.flatnonzero(np.asarray(pc.match_substring(text, t).to_numpy(zero_copy_only=False), bool))
-            if len(found):
-                for q in own:
-                    hits.setdefault(q, []).append(found)
-        longest = pc.max(pc.binary_length(name)).as_py()
-        for q, query in enumerate(texts):
-            score = np.zeros(batch.num_rows)
-            if q in hits:
-                score = np.bincount(np.concatenate(hits[q]), minlength=batch.num_rows) / counts[q]
-            if len(query.encode()) <= longest:
-                inside = np.flatnonzero(np.asarray(pc.match_substring(name, query).to_numpy(zero_copy_only=False), bool))
-                own = name.take(pa.array(inside))
-                bonus = np.asarray(pc.equal(own, query).to_numpy(zero_copy_only=False), float) + 0.5 + 0.25 * np.asarray(pc.starts_with(own, query).to_numpy(zero_copy_only=False), float)
-                score[inside] += bonus
-            picked = np.flatnonzero(score)
-            if not len(picked):
-                continue
-            if len(picked) > k:
-                picked = picked[score[picked] >= np.partition(score[picked], len(picked) - k)[len(picked) - k]]
-            picked = picked[np.lexsort((rank[picked], -score[picked]))[:k]]
-            at = pa.array(picked)
-            yield pa.RecordBatch.from_arrays([pa.array([ids[q]] * len(picked), pa.int64()), *(c.take(at) for c in shown), pa.array(score[picked])], names)
-
-
-def candidates_of(nodes: DataFrame, queries: DataFrame, k: int = 10, labels: tuple[str, ...] = (), key: str = "query_id", text: str = "query", block: int = QUERY_BLOCK) -> DataFrame:
+    # The rank of each row among the chunk's by label and key; null first.
+    order = np.asarray(pc.sort_indices(pa.table({"l": shown[0], "k": shown[2]}), [("l", "ascending"), ("k", "ascending")], null_placement="at_start"))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    where = lambda x: np.flatnonzero(np.asarray(x.to_numpy(zero_copy_only=False), bool))
+    hits: dict[int, list[np.ndarray]] = {}
+    for t, own in words.items():
+        found = where(pc.match_substring(text, t))
+        if len(found):
+            for q in own:
+                hits.setdefault(q, []).append(found)
+    longest = (pc.max(pc.binary_length(name)).as_py() or 0) if rows.num_rows else 0
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for q, query in enumerate(texts):
+        score = np.zeros(rows.num_rows)
+        if q in hits:
+            score = np.bincount(np.concatenate(hits[q]), minlength=rows.num_rows) / len(tokens[q])
+        if len(query.encode()) <= longest:
+            inside = where(pc.match_substring(name, query))
+            own = name.take(pa.array(inside))
+            score[inside] += EQUAL * np.asarray(pc.equal(own, query).to_numpy(zero_copy_only=False), float) + INSIDE + PREFIX * np.asarray(pc.starts_with(own, query).to_numpy(zero_copy_only=False), float)
+        picked = np.flatnonzero(score)
+        if len(picked) > k:
+            picked = picked[score[picked] >= np.partition(score[picked], len(picked) - k)[len(picked) - k]]
+        picked = picked[np.lexsort((rank[picked], -score[picked]))[:k]]
+        out.append((np.full(len(picked), ids[q]), picked, score[picked]))
+    asked, at, score = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return pa.table([pa.array(asked, pa.int64()), *(c.take(pa.array(at, pa.int64())) for c in shown), pa.array(score)], names)
+
+
+def candidates_of(
+    nodes: DataFrame, queries: DataFrame, k: int = 10, labels: tuple[str, ...] = (), key: str = "query_id", text: str = "query", block: int = QUERY_BLOCK, chunk: int = CHUNK
+) -> DataFrame:
     """``(query_id, label, name, key, path, score)`` as by :func:`candidates`, for the queries of a DataFrame.
 
-    Queries are taken in blocks of bounded size; each block is sent to the
-    tasks that scan the nodes, where each word is looked for once for all
-    queries that hold it, and only a batch's best ``k`` of a query are
-    shuffled.  Null and blank queries find nothing; keys are unique numbers.
+    Every chunk of nodes meets every block of queries; in a group each word is
+    looked for once for all queries that hold it, and only its best ``k`` of a
+    query are shuffled.  Null and blank queries find nothing; keys are unique
+    numbers.
     """
-    spark = nodes.sparkSession
-    ship(spark)
     rows = _searched(nodes, labels)
     schema = T.StructType([T.StructField("query_id", T.LongType()), *(T.StructField(c, rows.schema[c].dataType) for c in ("label", "name", "key", "path")), T.StructField("score", T.DoubleType())])
     plain = stripped(F.col(text))
     held = queries.where(F.coalesce(plain, F.lit("")) != "").select(F.col(key).cast("long").alias("id"), F.lower(plain).alias("q"), query_tokens(plain).alias("t"))
-    blocks = max(1, -(-held.count() // block))
-    held = held.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    parts = []
-    for b in range(blocks):
-        asked = held.where(F.col("b") == b).select("id", "q", "t").toArrow()  # about one block
-        shared = spark.sparkContext.broadcast(tuple(asked.column(c).to_pylist() for c in ("id", "q", "t")))
-        parts.append(rows.mapInArrow(lambda batches, s=shared: _candidate_batches(batches, *s.value, k, schema.names), schema))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    names = schema.names
+    found = _meet(rows, ["label", "key"], held, lambda some, asked: _candidates_in(some, asked, k, names), schema, block, chunk)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "label", "key")
     return found.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= k).drop("_at")
 
@@ -125,64 +132,82 @@ def candidates_of(nodes: DataFrame, queries: DataFrame, k: int = 10, labels: tup
 def confidence_tiers(found: DataFrame, queries: DataFrame) -> DataFrame:
     """``(query, tier, top_score, hit, retry_english)`` of every query: high from a score of 1, else low, or none."""
     top = found.groupBy("query").agg(F.max("score").alias("top_score"))
-    tier = F.when(F.col("top_score") >= 1.0, "high").when(F.col("top_score").isNotNull(), "low").otherwise("none")
+    tier = F.when(F.col("top_score") >= HIGH, "high").when(F.col("top_score").isNotNull(), "low").otherwise("none")
     return queries.select("query").distinct().join(top, "query", "left").select(
         "query", tier.alias("tier"), F.coalesce("top_score", F.lit(0.0)).alias("top_score"), (tier == "high").alias("hit"),
         ((tier != "high") & F.col("query").rlike(r"[^\x00-\x7F]")).alias("retry_english"),
     )
 
 
-def _nearest_batches(batches: Iterator[pa.RecordBatch], ids: list, matrix: np.ndarray, k: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keys, labels, vectors = batch.columns
-        held = np.flatnonzero(np.asarray(vectors.is_valid()))
-        if not len(held):
-            continue
-        rows = np.stack([np.asarray(vectors[int(i)].values, dtype=np.float64) for i in held])
-        norms = np.linalg.norm(rows, axis=1)
-        rows = rows / np.where(norms > 1e-9, norms, 1)[:, None]
-        near = rows @ matrix.T
-        groups = labels.take(pa.array(held)).dictionary_encode()
-        group = np.asarray(groups.indices.fill_null(-1))
+def _unit(vectors: pa.Array, at: np.ndarray) -> np.ndarray:
+    """The vectors at some places, scaled to length one."""
+    some = vectors.take(pa.array(at))
+    rows = np.asarray(some.flatten(), dtype=np.float64).reshape(len(at), -1)
+    norms = np.linalg.norm(rows, axis=1)
+    return rows / np.where(norms > 1e-9, norms, 1)[:, None]
+
+
+def _nearest_in(rows: pa.Table, queries: pa.Table, k: int, names: list[str]) -> pa.Table:
+    """Of some rows (key, label, vector) the nearest ``k`` of each label to each query (id, v), and ties of the last place."""
+    keys, labels, vectors = (rows.column(i).combine_chunks() for i in range(3))
+    held = np.flatnonzero(np.asarray(vectors.is_valid()))
+    ids = np.asarray(queries.column("id"))
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    if len(held) and len(ids):
+        # Rounded, so that equal vectors are equally far whatever the order of the products' sums.
+        near = np.round(_unit(vectors, held) @ _unit(queries.column("v").combine_chunks(), np.arange(len(ids))).T, 9)
+        group = np.asarray(labels.take(pa.array(held)).dictionary_encode().indices.fill_null(-1))
         for g in np.unique(group):
             own = np.flatnonzero(group == g)
             some = near[own]
-            if len(own) > k:  # keep ties of the last place: the ranking decides
-                least = np.partition(some, len(own) - k, axis=0)[len(own) - k]
-                row, query = np.nonzero(some >= least)
-            else:
-                row, query = np.nonzero(np.ones_like(some, dtype=bool))
-            picked = pa.array(held[own[row]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([ids[q] for q in query], pa.int64()), keys.take(picked), labels.take(picked), pa.array(1.0 - some[row, query])], names
-            )
-
-
-def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "vec_id", label: str = "label", vector: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
+            least = np.partition(some, len(own) - k, axis=0)[len(own) - k] if len(own) > k else np.full(len(ids), -np.inf)
+            row, query = np.nonzero(some >= least)
+            out.append((ids[query], held[own[row]], 1.0 - some[row, query]))
+    asked, at, distance = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return pa.table([pa.array(asked, pa.int64()), keys.take(pa.array(at)), labels.take(pa.array(at)), pa.array(distance)], names)
+
+
+def nearest(
+    queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "vec_id", label: str = "label", vector: str = "embedding",
+    block: int = QUERY_BLOCK, chunk: int = CHUNK, query_id: str | None = None,
+) -> DataFrame:
     """``(query_id, key, label, distance)``: exact cosine search, the best ``k`` per label, then the best ``k`` of all.
 
-    Queries are taken in blocks of bounded size; each block is sent to the tasks
-    that scan the vectors, and only a task's best candidates are shuffled.
-    Vectors and queries that are null are left out; equal distances are ranked
-    by label and key.
+    Every chunk of vectors meets every block of queries as one product of
+    matrices, and only a group's best are shuffled.  Vectors and queries that
+    are null are left out; distances are rounded to nine places, and equal ones
+    ranked by label and key.  Query
+    ids (``query_id``, or else the key) are unique numbers.
     """
-    spark = vectors.sparkSession
-    ship(spark)
     schema = T.StructType([T.StructField("query_id", T.LongType()), vectors.schema[key], vectors.schema[label], T.StructField("distance", T.DoubleType())])
-    numbered = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
-    blocks = max(1, -(-numbered.count() // block))
-    numbered = numbered.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    parts = []
-    for b in range(blocks):
-        rows = numbered.where(F.col("b") == b).select("id", "v").toArrow()  # about one block
-        ids, matrix = rows.column("id").to_pylist(), np.array(rows.column("v").to_pylist(), dtype=np.float64).reshape(rows.num_rows, -1)
-        norms = np.linalg.norm(matrix, axis=1)
-        shared = spark.sparkContext.broadcast((ids, matrix / np.where(norms > 1e-9, norms, 1)[:, None]))
-        parts.append(vectors.select(key, label, vector).mapInArrow(lambda batches, s=shared: _nearest_batches(batches, *s.value, k, schema.names), schema))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(query_id or key).cast("long").alias("id"), F.col(vector).alias("v"))
+    names = schema.names
+    found = _meet(vectors.select(key, label, vector), [key], asked, lambda some, own: _nearest_in(some, own, k, names), schema, block, chunk)
     per_label = Window.partitionBy("query_id", label).orderBy("distance", key)
     overall = Window.partitionBy("query_id").orderBy("distance", label, key)
     found = found.withColumn("_at", F.row_number().over(per_label)).where(F.col("_at") <= k)
     return found.withColumn("_at", F.row_number().over(overall)).where(F.col("_at") <= k).drop("_at")
+
+
+def search_nodes(queries: DataFrame, vectors: DataFrame, nodes: DataFrame, k: int = 10, labels: tuple[str, ...] = ()) -> DataFrame:
+    """``(query_id, label, name, key, path, distance)``: for queries (query_id, vector) the nearest nodes that aren't stale.
+
+    ``vectors`` has ``key, vector``; labels match in any case, and unknown ones find nothing.
+    """
+    live = nodes.where(~F.coalesce("stale", F.lit(False)))
+    if labels:
+        live = live.where(F.lower("label").isin(*(x.lower() for x in labels)))
+    live = live.select("label", "name", "key", "path")
+    held = vectors.select("key", "vector").join(live.select("label", "key"), "key")
+    found = nearest(queries, held, k, vector="vector", key="key", query_id="query_id")
+    return found.join(live, ["label", "key"]).select("query_id", "label", "name", "key", "path", "distance")
+
+
+def cached_vectors(texts: DataFrame, vectors: DataFrame, embedder: str) -> tuple[DataFrame, DataFrame]:
+    """Of stored ``vectors`` (key, embedder, embed_hash, vector) those that still hold for ``texts`` (key, embed_text), and the texts to embed, with ``embed_hash``.
+
+    A vector holds if this embedder made it of this text; vectors of other texts and embedders are dropped.
+    """
+    hashed = texts.groupBy("key").agg(F.min("embed_text").alias("embed_text")).withColumn("embed_hash", F.sha1("embed_text"))
+    own = vectors.where(F.col("embedder") == embedder)
+    return own.join(hashed.select("key", "embed_hash"), ["key", "embed_hash"], "left_semi").select("key", "embedder", "embed_hash", "vector"), hashed.join(own.select("key", "embed_hash"), ["key", "embed_hash"], "left_anti")
