@@ -30,3 +30,19 @@ def rejections(tiers: DataFrame, expected: DataFrame) -> DataFrame:
         F.count_if(F.col("tier") == "high").alias("false_high"),
         F.count_if((F.coalesce("tier", F.lit("none")) == "none") | (F.col("kind") == "semantic")).alias("rejected"), F.count("*").alias("queries"),
     )
+
+
+#: Least recall of a graph without and with what people stated. Fixed values of the evaluation.
+COLD_RECALL, CURATED_RECALL = 0.60, 0.85
+
+
+def gate(lanes: DataFrame, cold: float = COLD_RECALL, curated: float = CURATED_RECALL) -> DataFrame:
+    """``(check, passed)`` for ``lanes`` (lane: cold or curated, recall, false_high): no wrong answer with confidence, enough recall, and none lost by curation."""
+    of = lambda lane, c: F.max(F.when(F.col("lane") == lane, F.col(c)))
+    one = lanes.agg(*(of(lane, c).alias(f"{lane}_{c}") for lane in ("cold", "curated") for c in ("recall", "false_high")))
+    checks = {
+        "cold: no false high": F.col("cold_false_high") == 0, "curated: no false high": F.col("curated_false_high") == 0,
+        "cold: recall": F.col("cold_recall") >= cold, "curated: recall": F.col("curated_recall") >= curated, "curation loses no recall": F.col("curated_recall") >= F.col("cold_recall"),
+    }
+    rows = F.array(*(F.struct(F.lit(name).alias("check"), F.coalesce(x, F.lit(False)).alias("passed")) for name, x in checks.items()))
+    return one.select(F.inline(rows))
