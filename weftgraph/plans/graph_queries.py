@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.embedding import sparse_embedding
+from ..functions.embedding import EMBEDDER, hash_vectors, sparse_embedding, vectors
 from ..functions.text import embed_text, query_tokens
 from ..operators import graph, mutations, search
 from . import project_graph as pg
+from .runtime import Scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -87,17 +88,21 @@ def impact_depth4(spark, sf):
     return graph.impact(pg.static_edges(spark, sf), _seed_guids(spark, sf), 4)
 
 
-@_query("""
-, pairs AS (SELECT DISTINCT src AS a, dst AS b FROM sem WHERE record_id % 100 = 0 AND dst IN (SELECT key FROM types)),
+@_query(_SEED_GUIDS + """
+, near AS (SELECT key AS a, e.dst AS b FROM seeds JOIN static_edges e ON e.src = key AND e.rel = 'DEPENDS_ON'),
+pairs AS (SELECT DISTINCT src AS a, dst AS b FROM sem WHERE record_id % 100 = 0 AND dst IN (SELECT key FROM types)
+          UNION SELECT a, b FROM near UNION SELECT a, e.dst FROM near JOIN static_edges e ON e.src = b AND e.rel = 'SCRIPT_OF'),
 ways AS MATERIALIZED (SELECT src, dst FROM static_edges WHERE rel <> 'IN_NAMESPACE' UNION SELECT dst, src FROM static_edges WHERE rel <> 'IN_NAMESPACE'),
 walk(a, node, hops) AS (SELECT DISTINCT a, a, 0 FROM pairs UNION SELECT a, dst, hops + 1 FROM walk JOIN ways ON node = src WHERE hops < 3)
 SELECT a, b, min(hops)::INT AS hops FROM pairs LEFT JOIN walk w USING (a) WHERE w.node = b AND a <> b GROUP BY ALL
 UNION ALL SELECT a, b, NULL FROM pairs p WHERE a = b OR NOT EXISTS (SELECT 1 FROM walk w WHERE w.a = p.a AND w.node = p.b)""")
 def basis_hops(spark, sf):
-    """Least static steps, up to three, between the types of every hundredth semantic edge."""
-    kinds = pg.types(spark, sf).select(F.col("key").alias("b"))
-    pairs = pg.semantic_edges(spark, sf).where("record_id % 100 = 0").select(F.col("src").alias("a"), F.col("dst").alias("b")).join(kinds, "b", "left_semi")
-    return graph.structural_basis(pg.static_edges(spark, sf), pairs.select("a", "b"), 3)
+    """Least static steps, up to three, between the types of every hundredth semantic edge, and between assets of every hundredth record, what these depend on, and its types."""
+    kinds, stated = pg.types(spark, sf).select(F.col("key").alias("b")), pg.static_edges(spark, sf)
+    meant = pg.semantic_edges(spark, sf).where("record_id % 100 = 0").select(F.col("src").alias("a"), F.col("dst").alias("b")).join(kinds, "b", "left_semi").select("a", "b")
+    near = stated.where("rel = 'DEPENDS_ON'").join(_seed_guids(spark, sf).withColumnRenamed("key", "src"), "src").select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    scripts = stated.where("rel = 'SCRIPT_OF'").select(F.col("src").alias("b"), F.col("dst").alias("t"))
+    return graph.structural_basis(stated, meant.unionByName(near).unionByName(near.join(scripts, "b").select("a", F.col("t").alias("b"))), 3)
 
 
 @_query("SELECT s.src AS guid, s.dst AS type_key, n.dst AS namespace FROM static_edges s JOIN static_edges n ON s.dst = n.src WHERE s.rel = 'SCRIPT_OF' AND n.rel = 'IN_NAMESPACE'")
@@ -130,17 +135,28 @@ def _round(n: int) -> str:
 labels{n} AS MATERIALIZED (SELECT src AS key, community FROM votes{n} QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, community) = 1)"""
 
 
-_LPA_SQL = (
-    """
+def _lpa_sql(rounds: int) -> str:
+    """Communities after so many rounds; once no label changes further rounds change nothing."""
+    return (
+        """
 , live_types AS (SELECT key, name FROM types WHERE NOT stale),
 ends AS (SELECT src, dst FROM structural WHERE src IN (SELECT key FROM live_types) AND dst IN (SELECT key FROM live_types)),
 ways AS MATERIALIZED (SELECT src, dst, count(*) AS n FROM (SELECT src, dst FROM ends UNION ALL SELECT dst, src FROM ends) GROUP BY 1, 2
   UNION ALL SELECT DISTINCT src, src, 1 FROM (SELECT src FROM ends UNION SELECT dst FROM ends)),
 labels0 AS (SELECT DISTINCT src AS key, src AS community FROM ways)"""
-    + _round(1) + _round(2) + _round(3)
-    + """
-, member AS MATERIALIZED (SELECT key, community FROM labels3 WHERE community IN (SELECT community FROM labels3 GROUP BY 1 HAVING count(*) >= 2))"""
-)
+        + "".join(_round(n + 1) for n in range(rounds))
+        + f"""
+, member AS MATERIALIZED (SELECT key, community FROM labels{rounds} WHERE community IN (SELECT community FROM labels{rounds} GROUP BY 1 HAVING count(*) >= 2))"""
+    )
+
+
+_DESCRIBED_SQL = r"""
+, named AS (SELECT m.community, m.key, t.name, regexp_extract(t.name, '^.[^A-Z]*') AS head, row_number() OVER (PARTITION BY m.community ORDER BY t.name, m.key) AS pos FROM member m JOIN live_types t USING (key)),
+links AS (SELECT a.community, count(*) AS inner_edges FROM ends e JOIN member a ON e.src = a.key JOIN member b ON e.dst = b.key WHERE a.community = b.community GROUP BY 1),
+described AS (SELECT 'community:' || min(key) AS key, count(*) AS members, coalesce(any_value(inner_edges), 0) AS inner_edges,
+       CASE WHEN min(head) = max(head) AND length(min(head)) >= 3 THEN min(head) || ' group' ELSE string_agg(name, '/' ORDER BY pos) FILTER (WHERE pos <= 2) END AS name,
+       string_agg(name, ', ' ORDER BY pos) FILTER (WHERE pos <= 8) || CASE WHEN count(*) > 8 THEN ' …' ELSE '' END AS listed
+  FROM named LEFT JOIN links USING (community) GROUP BY community)"""
 
 
 def _communities(spark, sf, **rounds):
@@ -149,36 +165,50 @@ def _communities(spark, sf, **rounds):
     return kinds, links, graph.label_propagation(kinds, links, **rounds)
 
 
-@_query(_LPA_SQL + " SELECT key, community FROM member")
+@_query(_lpa_sql(3) + " SELECT key, community FROM member")
 def communities_lpa3(spark, sf):
-    """Communities of types by three rounds of label propagation, which SQL can unroll; :func:`communities` goes on to the end."""
+    """Communities of types as they are after three rounds of label propagation; :func:`communities` has the final ones."""
     return _communities(spark, sf, rounds=3)[2]
 
 
-@_query()
+@_query(_lpa_sql(20) + " SELECT key, community FROM member")
 def communities(spark, sf):
     """Communities of types by label propagation until no label changes, or for 20 rounds."""
     return _communities(spark, sf)[2]
 
 
-@_query(_LPA_SQL + r"""
-, named AS (SELECT m.community, m.key, t.name, regexp_extract(t.name, '^.[^A-Z]*') AS head, row_number() OVER (PARTITION BY m.community ORDER BY t.name, m.key) AS pos FROM member m JOIN live_types t USING (key)),
-links AS (SELECT a.community, count(*) AS inner_edges FROM ends e JOIN member a ON e.src = a.key JOIN member b ON e.dst = b.key WHERE a.community = b.community GROUP BY 1)
-SELECT 'community:' || min(key) AS key, count(*) AS members, coalesce(any_value(inner_edges), 0) AS inner_edges,
-       CASE WHEN min(head) = max(head) AND length(min(head)) >= 3 THEN min(head) || ' group' ELSE string_agg(name, '/' ORDER BY pos) FILTER (WHERE pos <= 2) END AS name,
-       string_agg(name, ', ' ORDER BY pos) FILTER (WHERE pos <= 8) || CASE WHEN count(*) > 8 THEN ' …' ELSE '' END AS listed
-FROM named LEFT JOIN links USING (community) GROUP BY community""")
-def community_summary(spark, sf):
-    """Each community of types after three rounds with a name, its size, inner edges and first members; :func:`communities_described` has the final ones."""
-    kinds, links, member = _communities(spark, sf, rounds=3)
+def _described(spark, sf):
+    kinds, links, member = _communities(spark, sf)
     return graph.community_summaries(member, kinds, links)
 
 
-@_query()
-def communities_described(spark, sf):
+@_query(_lpa_sql(20) + _DESCRIBED_SQL + " SELECT * FROM described")
+def community_summary(spark, sf):
     """Each final community of types with a name, its size, inner edges and first members."""
-    kinds, links, member = _communities(spark, sf)
-    return graph.community_summaries(member, kinds, links)
+    return _described(spark, sf)
+
+
+@_query(_lpa_sql(20) + _DESCRIBED_SQL + " SELECT count(*) AS communities, sum(members)::BIGINT AS members, max(members) AS largest, sum(inner_edges)::BIGINT AS inner_edges FROM described")
+def communities_described(spark, sf):
+    """How many final communities of types there are, and how large they are."""
+    return _described(spark, sf).agg(F.count("*").alias("communities"), F.sum("members").alias("members"), F.max("members").alias("largest"), F.sum("inner_edges").alias("inner_edges"))
+
+
+@_query(_lpa_sql(20) + _DESCRIBED_SQL + " SELECT name, members, listed AS summary, key FROM described ORDER BY members DESC, key LIMIT 50")
+def uncurated_communities(spark, sf):
+    """The fifty largest communities found that nobody has named."""
+    found = _described(spark, sf).select(F.lit("Concept").alias("label"), "key", "name", "members", F.col("listed").alias("summary"))
+    return graph.uncurated_communities(found).orderBy(F.desc("members"), "key").limit(50)
+
+
+@_query("""
+, members AS (SELECT DISTINCT community_name AS name, trim(unnest(member_keys)) AS key FROM communities WHERE community_name IS NOT NULL)
+SELECT 'PART_OF' AS rel, t.key AS src, 'concept:' || m.name AS dst FROM members m JOIN (SELECT DISTINCT key FROM types) t USING (key)""")
+def concept_members(spark, sf):
+    """Each type that a community names as its member, by its key, as a part of the community's concept."""
+    named = pg.table(spark, sf, "communities").where("community_name is not null").select(F.explode("member_keys").alias("key"), F.concat(F.lit("concept:"), "community_name").alias("dst"))
+    named = named.select(F.trim("key").alias("key"), "dst").distinct()
+    return named.join(pg.types(spark, sf).select("key").distinct(), "key").select(F.lit("PART_OF").alias("rel"), F.col("key").alias("src"), "dst")
 
 
 _LEXICAL = ("event trail sampler", "harbor lattice", "LedgerOverlay", "combat loop", "scene reload on slow devices", "物理 camera", "zqx unknown words")
@@ -308,15 +338,52 @@ def embed_texts(spark, sf):
     return kinds.select("key", text.alias("t")).select("key", F.sha1("t").alias("embed_hash"), F.length("t").cast("long").alias("n_chars"))
 
 
-@_query("""
-, old AS (SELECT node_key AS key, arg_min(content_hash, created_at) AS hash FROM type_nodes GROUP BY 1)
-SELECT t.label, sum((o.hash IS NOT DISTINCT FROM sha1(t.name))::INT)::BIGINT AS skipped, sum((o.hash IS DISTINCT FROM sha1(t.name))::INT)::BIGINT AS embedded
-FROM types t LEFT JOIN old o USING (key) GROUP BY 1""")
+_EMBED = "concat_ws('. ', nullif(trim({0}name), ''), nullif(trim({0}ns), ''), nullif(trim(lower({0}label) || ' ' || {0}name), ''), CASE WHEN trim({0}doc) <> '' THEN {0}doc END)"
+
+
+@_query(f"""
+, early AS (SELECT node_label AS label, node_key AS key, min(type_name) AS name, min(ns_name) AS ns, min(doc) AS doc FROM type_nodes
+           WHERE created_at < TIMESTAMP '2024-01-01' AND removed_at IS NULL GROUP BY 1, 2),
+texts AS (SELECT label, key, sha1({_EMBED.format("")}) AS h FROM types),
+stored AS (SELECT key, sha1({_EMBED.format("")}) AS h FROM early)
+SELECT t.label, count(s.key) AS skipped, count(*) - count(s.key) AS embedded FROM texts t LEFT JOIN (SELECT DISTINCT key, h FROM stored) s ON t.key = s.key AND t.h = s.h GROUP BY 1""")
 def embedding_cache(spark, sf):
-    """Types whose text hash differs from the stored one are embedded anew; the rest is skipped."""
-    old = pg.table(spark, sf, "type_nodes").groupBy(F.col("node_key").alias("key")).agg(F.min_by("content_hash", "created_at").alias("hash"))
-    fresh = F.col("hash").eqNullSafe(F.sha1("name"))
-    return pg.types(spark, sf).join(old, "key", "left").groupBy("label").agg(F.sum(fresh.cast("int")).alias("skipped"), F.sum((~fresh).cast("int")).alias("embedded"))
+    """Vectors of the types known before 2024 are kept where the types' texts are still the same; all others are embedded anew."""
+    text = embed_text(F.col("name"), F.col("ns"), F.concat(F.lower("label"), F.lit(" "), F.col("name")), F.col("doc"))
+    early = pg.table(spark, sf, "type_nodes").where("created_at < timestamp_ntz'2024-01-01' and removed_at is null").groupBy(F.col("node_label").alias("label"), F.col("node_key").alias("key"))
+    early = early.agg(F.min("type_name").alias("name"), F.min("ns_name").alias("ns"), F.min("doc").alias("doc")).select("key", text.alias("text"))
+    stored = hash_vectors(early).join(early, "key").select("key", F.lit(EMBEDDER).alias("embedder"), F.sha1("text").alias("embed_hash"), "vector")
+    kinds = pg.types(spark, sf).select("label", "key", text.alias("embed_text"))
+    kept, fresh = search.cached_vectors(kinds, stored, EMBEDDER)
+    new = hash_vectors(fresh.select("key", F.col("embed_text").alias("text")))
+    both = kept.select("key", F.lit(1).alias("skipped")).unionByName(new.select("key", F.lit(0).alias("skipped")))
+    return kinds.select("label", "key").join(both, "key").groupBy("label").agg(F.sum("skipped").alias("skipped"), F.sum(1 - F.col("skipped")).alias("embedded"))
+
+
+_SEARCH_SQL = r"""
+, asked AS (SELECT 'q' || doc_id AS id, text AS t FROM documents WHERE doc_type = 'query' AND doc_id % 100 = 0 AND text IS NOT NULL),
+held AS (SELECT key AS id, EMBED AS t FROM types WHERE NOT stale),
+texts AS (SELECT * FROM asked UNION ALL SELECT * FROM held),
+words AS (SELECT id, unnest(list_concat(regexp_extract_all(lower(t), '[\p{L}\p{Nd}]+'),
+          list_filter(list_transform(regexp_extract_all(regexp_replace(t, '([\p{L}\p{Nd}]\p{Ll})(\p{Lu})', '\1 \2', 'g'), '[\p{L}\p{Nd}]+'), lambda x: lower(x)), lambda x: length(x) > 1))) AS tok FROM texts),
+parts AS (SELECT id, tok AS s, true AS word FROM words UNION ALL SELECT id, unnest(list_transform(range(1, length(tok)), lambda i: substr(tok, i::INT, 2))), false FROM words),
+hashed AS (SELECT id, word, list_reduce(list_concat([2166136261::BIGINT], list_transform(string_split(s, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619) & 4294967295) AS h FROM parts),
+sums AS MATERIALIZED (SELECT id, h % 256 AS dim, sum(CASE WHEN word THEN CASE WHEN h >= 2147483648 THEN -1.0 ELSE 1.0 END ELSE CASE WHEN h % 2 = 1 THEN -0.5 ELSE 0.5 END END)::DOUBLE AS w FROM hashed GROUP BY ALL),
+norms AS (SELECT id, sqrt(sum(w * w)) AS norm FROM sums GROUP BY 1),
+near AS (SELECT a.id AS q, b.id AS key, sum(x.w * y.w) / (any_value(a.norm) * any_value(b.norm)) AS cosine FROM norms a JOIN sums x ON a.id = x.id JOIN sums y ON x.dim = y.dim JOIN norms b ON y.id = b.id
+         WHERE a.id IN (SELECT id FROM asked) AND b.id IN (SELECT id FROM held) GROUP BY 1, 2),
+every AS (SELECT a.id AS q, label, name, key, path, round(1 - coalesce(n.cosine, 0), 9) + 0.0 AS distance FROM asked a CROSS JOIN types t LEFT JOIN near n ON n.q = a.id AND n.key = t.key WHERE NOT stale AND label IN ('Class', 'Struct'))
+SELECT substr(q, 2)::BIGINT AS query_id, label, name, key, path, round(distance, 6) + 0.0 AS distance FROM every QUALIFY row_number() OVER (PARTITION BY q ORDER BY distance, label, key) <= 10""".replace("EMBED", _EMBED.format(""))
+
+
+@_query(_SEARCH_SQL)
+def hash_search(spark, sf):
+    """The ten classes and structs nearest to each query among the hundredth documents, by vectors of their texts."""
+    asked = pg.table(spark, sf, "documents").where("doc_type = 'query' and doc_id % 100 = 0 and text is not null").select(F.col("doc_id").alias("query_id"), "text")
+    kinds = pg.types(spark, sf)
+    text = embed_text(F.col("name"), F.col("ns"), F.concat(F.lower("label"), F.lit(" "), F.col("name")), F.col("doc"))
+    found = search.search_nodes(vectors(asked, ["query_id"], "text"), hash_vectors(kinds.select("key", text.alias("text"))), kinds, 10, ("class", "STRUCT"))
+    return found.withColumn("distance", F.round("distance", 6) + F.lit(0.0))
 
 
 @_query("""
@@ -351,6 +418,30 @@ def lifecycle_sweep(spark, sf):
     return mutations.sweep(nodes, nodes.where(graph.live()), pg.semantic_edges(spark, sf)).groupBy("label", "action").agg(F.count("*").alias("n"))
 
 
+@_query("""
+, old AS (SELECT node_label AS label, node_key AS key, max(doc) AS doc FROM type_nodes WHERE created_at < TIMESTAMP '2024-01-01' GROUP BY 1, 2),
+extracted AS (SELECT label, key, doc FROM types WHERE NOT stale),
+touched AS (SELECT src AS key FROM sem WHERE coalesce(author, '') <> 'community-detection' UNION SELECT dst FROM sem WHERE coalesce(author, '') <> 'community-detection'),
+merged AS (SELECT label, key, e.doc IS NULL AND o.doc IS NULL AS bare, e.key IS NULL AS stale FROM old o FULL JOIN (SELECT *, true AS there FROM extracted) e USING (label, key)
+           WHERE e.there OR key IN (SELECT key FROM touched WHERE key IS NOT NULL)),
+flags AS (SELECT label, count(*) AS flagged FROM (SELECT DISTINCT n.label, s.rel, s.src, s.dst FROM sem s JOIN (SELECT label, key FROM extracted WHERE (label, key) NOT IN (SELECT (label, key) FROM old)) n ON n.key IN (s.src, s.dst)
+          WHERE invalid_at IS NULL AND coalesce(author, '') <> 'community-detection') GROUP BY 1)
+SELECT label, stale, count(*) AS n, count(*) FILTER (WHERE bare) AS without_doc, coalesce(any_value(flagged), 0) AS flagged FROM merged LEFT JOIN flags USING (label) GROUP BY 1, 2""".replace("e.key IS NULL AS stale", "e.there IS NULL AS stale"))
+def reindex_merge(spark, sf):
+    """A graph of the types known before 2024 brought in line with those there now: what is kept, stale and to review."""
+    rows = pg.table(spark, sf, "type_nodes").where("created_at < timestamp_ntz'2024-01-01'")
+    old = rows.groupBy(F.col("node_label").alias("label"), F.col("node_key").alias("key")).agg(F.max("doc").alias("doc")).select("*", F.lit("static").alias("source"), F.lit(False).alias("stale"))
+    found = pg.types(spark, sf).where(graph.live()).select("label", "key", "doc", F.lit("static").alias("source"), F.lit(False).alias("stale"))
+    semantic = pg.semantic_edges(spark, sf)
+    swept = mutations.sweep(old, found, semantic).where("action <> 'remove'")
+    merged = mutations.upsert(swept.withColumn("stale", F.col("action") == "stale").drop("action"), found, ["label", "key"])
+    new = found.join(old, ["label", "key"], "left_anti").select("label", "key")
+    flagged = mutations.flag_review(semantic, new.select("key"), "source changed").where("needs_review").select("rel", "src", "dst", F.explode(F.array_distinct(F.array("src", "dst"))).alias("key"))
+    flags = flagged.join(new, "key").select("label", "rel", "src", "dst").distinct().groupBy("label").agg(F.count("*").alias("flagged"))
+    shape = merged.groupBy("label", "stale").agg(F.count("*").alias("n"), F.count_if(F.col("doc").isNull()).alias("without_doc"))
+    return shape.join(flags, "label", "left").select("label", "stale", "n", "without_doc", F.coalesce("flagged", F.lit(0)).alias("flagged"))
+
+
 _STATUS_SQL = r"""
 WITH files AS (SELECT project, snapshot_no, regexp_replace(replace(file_path, '\', '/'), '^(\./)+', '') AS path, arg_max(coalesce(lower(content_sha1), ''), loaded_at) AS sha FROM index_files GROUP BY 1, 2, 3),
 snaps AS (SELECT project, snapshot_no, max(embedder_id) AS embedder, max(indexed_at) AS indexed_at, row_number() OVER (PARTITION BY project ORDER BY snapshot_no DESC) AS back FROM index_files GROUP BY 1, 2),
@@ -360,15 +451,21 @@ diff AS (SELECT coalesce(n.project, o.project) AS project, coalesce(n.path, o.pa
          FROM new n FULL JOIN old o ON n.project = o.project AND n.path = o.path WHERE n.sha IS DISTINCT FROM o.sha)"""
 
 
-def _last_diff(spark, sf):
-    """``(project, path, change)`` between each project's last two snapshots."""
+def _last_two(spark, sf):
+    """``(project, snapshot_no, embedder, back)`` of each project's last two snapshots."""
+    from pyspark.sql import Window
+
+    snaps = pg.table(spark, sf, "index_files").groupBy("project", "snapshot_no").agg(F.max("embedder_id").alias("embedder"))
+    return snaps.withColumn("back", F.row_number().over(Window.partitionBy("project").orderBy(F.desc("snapshot_no")))).where("back <= 2")
+
+
+def _last_diff(spark, sf, last):
+    """``(project, path, change)`` between each project's last two snapshots; no others are read further."""
     from ..operators.snapshots import relative_path, snapshot_changes
 
-    rows = pg.table(spark, sf, "index_files")
+    rows = pg.table(spark, sf, "index_files").join(last.select("project", "snapshot_no"), ["project", "snapshot_no"], "left_semi")
     files = rows.select("project", "snapshot_no", relative_path(F.col("file_path")).alias("path"), F.lower("content_sha1").alias("sha"), "loaded_at")
-    last = rows.groupBy("project").agg(F.max("snapshot_no").alias("snapshot_no"))
-    changes = snapshot_changes(files, key="path", value="sha")
-    return changes.join(last, ["project", "snapshot_no"], "left_semi").select("project", "path", F.col("change_kind").alias("change"))
+    return snapshot_changes(files, key="path", value="sha").select("project", "path", F.col("change_kind").alias("change"))
 
 
 @_query(_STATUS_SQL + """
@@ -378,12 +475,9 @@ SELECT project, any_value(snapshot_no) AS snapshot_no, any_value(embedder_change
 FROM state LEFT JOIN diff USING (project) GROUP BY project""", graph_sql=False)
 def status_row(spark, sf):
     """How fresh each project's index is: what changed since the snapshot before the last."""
-    snaps = pg.table(spark, sf, "index_files").groupBy("project", "snapshot_no").agg(F.max("embedder_id").alias("embedder"))
-    from pyspark.sql import Window
-
-    last = snaps.withColumn("back", F.row_number().over(Window.partitionBy("project").orderBy(F.desc("snapshot_no")))).where("back <= 2")
+    last = Scratch(spark, "last_two").write(_last_two(spark, sf))
     state = last.groupBy("project").agg(F.max("snapshot_no").alias("snapshot_no"), (F.countDistinct("embedder") > 1).alias("embedder_changed"))
-    counts = _last_diff(spark, sf).groupBy("project").agg(*(F.count_if(F.col("change") == c).alias(c) for c in ("added", "changed", "removed")))
+    counts = _last_diff(spark, sf, last).groupBy("project").agg(*(F.count_if(F.col("change") == c).alias(c) for c in ("added", "changed", "removed")))
     joined = state.join(counts, "project", "left").na.fill(0, ["added", "changed", "removed"])
     return joined.select("project", "snapshot_no", "embedder_changed", ((F.col("added") + F.col("changed") + F.col("removed") == 0) & ~F.col("embedder_changed")).alias("fresh"), "added", "changed", "removed")
 

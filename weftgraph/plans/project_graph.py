@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.keys import canonical_guid, is_guid, stripped
 from ..functions.text import file_stem
+from .runtime import Scratch
 
 
 def _none(kind: str) -> Column:
@@ -60,9 +61,9 @@ def searched_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.withColumn("signature", F.when(~F.col("label").isin("Namespace", "Asset", "Concept"), F.concat(F.lower("label"), F.lit(" "), F.col("name"))))
 
 
-def asset_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def asset_edges(spark: SparkSession, sf_dir: str, assets: DataFrame | None = None) -> DataFrame:
     """``(rel, src, dst)`` as the latest manifests state them, dangling ones included."""
-    assets = latest_assets(spark, sf_dir)
+    assets = latest_assets(spark, sf_dir) if assets is None else assets
     named = assets.select(F.col("guid").alias("src"), F.explode(F.array_distinct(F.transform("dependencies", canonical_guid))).alias("dst")).where("dst <> src and dst <> ''")
     scripts = assets.where("script_type <> ''").select(F.lit("SCRIPT_OF").alias("rel"), F.col("guid").alias("src"), F.col("script_type").alias("dst"))
     return named.select(F.lit("DEPENDS_ON").alias("rel"), "src", "dst").unionByName(scripts)
@@ -71,9 +72,9 @@ def asset_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def static_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(rel, src, dst)`` with both ends in the graph."""
     kinds = types(spark, sf_dir).select("key", "ns")
-    stated = asset_edges(spark, sf_dir)
-    assets = latest_assets(spark, sf_dir).select(F.col("guid").alias("dst"))
-    depends = stated.where("rel = 'DEPENDS_ON'").join(assets, "dst", "left_semi")
+    assets = Scratch(spark, "assets").write(latest_assets(spark, sf_dir).select("guid", "script_type", "dependencies"))
+    stated = asset_edges(spark, sf_dir, assets)
+    depends = stated.where("rel = 'DEPENDS_ON'").join(assets.select(F.col("guid").alias("dst")), "dst", "left_semi")
     scripts = stated.where("rel = 'SCRIPT_OF'").join(kinds.select(F.col("key").alias("dst")), "dst", "left_semi")
     spaces = kinds.where("ns is not null").select(F.lit("IN_NAMESPACE").alias("rel"), F.col("key").alias("src"), F.col("ns").alias("dst")).distinct()
     return depends.select("rel", "src", "dst").unionByName(scripts.select("rel", "src", "dst")).unionByName(spaces)
@@ -95,7 +96,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def structural_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(src, dst)``: a type refers to another where an asset with the one as script depends on an asset with the other."""
-    stated = static_edges(spark, sf_dir)
+    stated = Scratch(spark, "stated").write(static_edges(spark, sf_dir).where("rel <> 'IN_NAMESPACE'"))
     script = stated.where("rel = 'SCRIPT_OF'")
     uses = stated.where("rel = 'DEPENDS_ON'").select(F.col("src").alias("a"), F.col("dst").alias("b"))
     one = script.select(F.col("src").alias("a"), F.col("dst").alias("ta"))

@@ -105,19 +105,23 @@ def event_windows_stream(spark, sf):
     return found.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+def _watched(spark, sf) -> DataFrame:
+    """``(path, sha1, seen_at)`` of all watched files after a stream of all index records, batch by batch."""
+    files = _stream(spark, sf, "index_files", "project || '/' || file_path AS path, content_sha1 AS sha1, loaded_at, snapshot_no", batches=True)
+    seen = files.where("sha1 is not null and path is not null").select("path", "sha1", F.struct("loaded_at", "snapshot_no", "sha1").alias("seen_at"))
+    return watch.run_to_table(seen, f"watched_{uuid.uuid4().hex}", fold=watch.latest_state)
+
+
 @_query("""
-SELECT project || '/' || file_path AS path, arg_max(content_sha1, loaded_at) AS sha1 FROM index_files WHERE content_sha1 IS NOT NULL AND snapshot_no <= 2 AND file_path IS NOT NULL GROUP BY 1""")
+WITH files AS (SELECT project || '/' || file_path AS path, max((loaded_at, snapshot_no, content_sha1)) AS seen FROM index_files WHERE content_sha1 IS NOT NULL AND project IS NOT NULL AND file_path IS NOT NULL GROUP BY 1)
+SELECT struct_extract(seen, 2) AS snapshot_no, count(*) AS files, max(struct_extract(seen, 1)) AS last_loaded FROM files GROUP BY 1""")
 def watch_microbatch(spark, sf):
-    """The state of watched files after a stream of index records up to the second snapshots, batch by batch; :func:`watch_latest` takes them all."""
-    files = _stream(spark, sf, "index_files", "project || '/' || file_path AS path, content_sha1 AS sha1, loaded_at AS seen_at, snapshot_no", batches=True)
-    seen = files.where("sha1 is not null and path is not null and snapshot_no <= 2")
-    return watch.run_to_table(seen, f"watched_{uuid.uuid4().hex}", fold=watch.latest_state).select("path", "sha1")
+    """In which snapshot the watched files were seen last, after a stream of all index records, batch by batch."""
+    return _watched(spark, sf).groupBy(F.col("seen_at.snapshot_no").alias("snapshot_no")).agg(F.count("*").alias("files"), F.max("seen_at.loaded_at").alias("last_loaded"))
 
 
 @_query("""
 SELECT project || '/' || file_path AS path, arg_max(content_sha1, (loaded_at, snapshot_no, content_sha1)) AS sha1 FROM index_files WHERE content_sha1 IS NOT NULL AND project IS NOT NULL AND file_path IS NOT NULL GROUP BY 1""")
 def watch_latest(spark, sf):
     """The latest state of all watched files after a stream of all index records, batch by batch."""
-    files = _stream(spark, sf, "index_files", "project || '/' || file_path AS path, content_sha1 AS sha1, loaded_at, snapshot_no", batches=True)
-    seen = files.where("sha1 is not null and path is not null").select("path", "sha1", F.struct("loaded_at", "snapshot_no", "sha1").alias("seen_at"))
-    return watch.run_to_table(seen, f"watched_{uuid.uuid4().hex}", fold=watch.latest_state).select("path", "sha1")
+    return _watched(spark, sf).select("path", "sha1")
