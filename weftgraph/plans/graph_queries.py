@@ -372,7 +372,7 @@ sums AS MATERIALIZED (SELECT id, h % 256 AS dim, sum(CASE WHEN word THEN CASE WH
 norms AS (SELECT id, sqrt(sum(w * w)) AS norm FROM sums GROUP BY 1),
 near AS (SELECT a.id AS q, b.id AS key, sum(x.w * y.w) / (any_value(a.norm) * any_value(b.norm)) AS cosine FROM norms a JOIN sums x ON a.id = x.id JOIN sums y ON x.dim = y.dim JOIN norms b ON y.id = b.id
          WHERE a.id IN (SELECT id FROM asked) AND b.id IN (SELECT id FROM held) GROUP BY 1, 2),
-every AS (SELECT a.id AS q, label, name, key, path, round(1 - coalesce(n.cosine, 0), 9) + 0.0 AS distance FROM asked a CROSS JOIN types t LEFT JOIN near n ON n.q = a.id AND n.key = t.key WHERE NOT stale AND label IN ('Class', 'Struct'))
+every AS (SELECT a.id AS q, label, name, t.key AS key, path, round(1 - coalesce(n.cosine, 0), 9) + 0.0 AS distance FROM asked a CROSS JOIN types t LEFT JOIN near n ON n.q = a.id AND n.key = t.key WHERE NOT stale AND label IN ('Class', 'Struct'))
 SELECT substr(q, 2)::BIGINT AS query_id, label, name, key, path, round(distance, 6) + 0.0 AS distance FROM every QUALIFY row_number() OVER (PARTITION BY q ORDER BY distance, label, key) <= 10""".replace("EMBED", _EMBED.format(""))
 
 
@@ -419,7 +419,7 @@ def lifecycle_sweep(spark, sf):
 
 
 @_query("""
-, old AS (SELECT node_label AS label, node_key AS key, max(doc) AS doc FROM type_nodes WHERE created_at < TIMESTAMP '2024-01-01' GROUP BY 1, 2),
+, old AS (SELECT node_label AS label, node_key AS key, max(doc) AS doc FROM type_nodes WHERE created_at < TIMESTAMP '2025-01-01' GROUP BY 1, 2),
 extracted AS (SELECT label, key, doc FROM types WHERE NOT stale),
 touched AS (SELECT src AS key FROM sem WHERE coalesce(author, '') <> 'community-detection' UNION SELECT dst FROM sem WHERE coalesce(author, '') <> 'community-detection'),
 merged AS (SELECT label, key, e.doc IS NULL AND o.doc IS NULL AS bare, e.key IS NULL AS stale FROM old o FULL JOIN (SELECT *, true AS there FROM extracted) e USING (label, key)
@@ -428,8 +428,8 @@ flags AS (SELECT label, count(*) AS flagged FROM (SELECT DISTINCT n.label, s.rel
           WHERE invalid_at IS NULL AND coalesce(author, '') <> 'community-detection') GROUP BY 1)
 SELECT label, stale, count(*) AS n, count(*) FILTER (WHERE bare) AS without_doc, coalesce(any_value(flagged), 0) AS flagged FROM merged LEFT JOIN flags USING (label) GROUP BY 1, 2""".replace("e.key IS NULL AS stale", "e.there IS NULL AS stale"))
 def reindex_merge(spark, sf):
-    """A graph of the types known before 2024 brought in line with those there now: what is kept, stale and to review."""
-    rows = pg.table(spark, sf, "type_nodes").where("created_at < timestamp_ntz'2024-01-01'")
+    """A graph of the types known before 2025 brought in line with those there now: what is kept, stale and to review."""
+    rows = pg.table(spark, sf, "type_nodes").where("created_at < timestamp_ntz'2025-01-01'")
     old = rows.groupBy(F.col("node_label").alias("label"), F.col("node_key").alias("key")).agg(F.max("doc").alias("doc")).select("*", F.lit("static").alias("source"), F.lit(False).alias("stale"))
     found = pg.types(spark, sf).where(graph.live()).select("label", "key", "doc", F.lit("static").alias("source"), F.lit(False).alias("stale"))
     semantic = pg.semantic_edges(spark, sf)
