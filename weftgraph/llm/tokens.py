@@ -28,7 +28,7 @@ WORDS = (
     rf" ?\p{{L}}+|'(?:[stmd]|re|ve|ll)| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+"
     rf"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 )
-#: Words handled at once in a task; bounds its memory whatever the texts' lengths.
+#: Words handled at once in a task, once the distinct words of its Arrow batch (10,000 texts by Spark's default) are merged.
 WORDS_AT_ONCE = 1 << 19
 
 
