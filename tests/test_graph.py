@@ -274,7 +274,20 @@ def test_a_custom_embedder_and_summarizer(spark, tmp_path):
     assert session.index(project, "2024-01-01")["embedded"] >= 18
     assert {r.summary for r in session.nodes.where("key like 'community:%'").collect()} == {"by a model"}
     assert session.search("x", 3).count() == 3
+    (tmp_path / "c.json").write_text('{"concepts": [{"name": "weather"}], "edges": [{"from": "weather", "to": "Clock", "rel": "RELATES_TO", "confidence": 0.7}]}')
+    session.curate(f"file://{tmp_path}/c.json", "2024-01-01")
+    assert rows_of(session.semantic().where("author = 'curation'"), "from", "to") == [("weather", "Clock")]
     assert GraphSession(spark, f"file://{tmp_path}/g").index(project, "2024-01-02")["embedded"] >= 18  # another embedder: all anew
+    session.delete()
+    assert session.versions() == [] and session.nodes.isEmpty()
+
+
+def test_gate_of_an_evaluation(spark):
+    from weftgraph.plans.evaluation import gate
+
+    lanes = spark.createDataFrame([("cold", 0.7, 0), ("curated", 0.9, 1)], "lane string, recall double, false_high int")
+    assert rows_of(gate(lanes)) == [("cold: no false high", True), ("cold: recall", True), ("curated: no false high", False), ("curated: recall", True), ("curation loses no recall", True)]
+    assert not any(r.passed for r in gate(lanes.where("false")).collect())
 
 
 def test_vectors_are_kept_by_the_hash_of_their_text(spark):

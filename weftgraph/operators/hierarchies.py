@@ -130,10 +130,8 @@ class Hierarchy:
     def __init__(self, links: DataFrame, node: str = "node", parent: str = "parent"):
         self._scratch = scratch = Scratch(links.sparkSession, "hierarchy")
         given = links.select(F.col(node).alias("node"), F.col(parent).alias("parent")).where("node is not null")
-        self._kind = given.schema["node"].dataType
-        known = given.groupBy("node").agg(F.min("parent").alias("parent"))
         above = given.where("parent is not null").select(F.col("parent").alias("node"), F.lit(None).cast(given.schema["parent"].dataType).alias("parent"))
-        known = scratch.write(known.unionByName(above).groupBy("node").agg(F.min("parent").alias("parent")))
+        known = scratch.write(given.unionByName(above).groupBy("node").agg(F.min("parent").alias("parent")))
         numbers = Numbering(known.select(F.col("node").alias("value")), scratch)
         named = known.select(F.col("node").alias("name"), F.col("parent").alias("above"))
         #: (node, parent, name, above): numbers and names of each node and its parent.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,14 +63,14 @@ class GraphSession:
     )
     STATE = "path string, sha1 string"
     VECTORS = "key string, embedder string, embed_hash string, vector array<double>"
-    MISSES = "key string, query string, n long, tier string, last_seen timestamp, first_seen timestamp"
+    MISSES = "id string, query string, tier string, seen_at timestamp"
 
     def __init__(self, spark: SparkSession, folder: str, embedder: Embedder = hash_vectors, embedder_id: str = EMBEDDER, summarize: Callable[[DataFrame], DataFrame] | None = None):
         """``embedder`` makes vectors of texts (a pandas UDF, say); ``summarize`` may rename and describe the communities found (:func:`.community_summaries`)."""
         self.spark, self.folder = spark, folder.rstrip("/")
         self.embedder, self.embedder_id, self.summarize = embedder, embedder_id, summarize
         schemas = {"nodes": self.NODES, "edges": self.EDGES, "state": self.STATE, "vectors": self.VECTORS, "misses": self.MISSES}
-        keys = {"nodes": ["label", "key"], "edges": ["source", "rel", "src", "dst", "valid_from"], "state": ["path"], "vectors": ["key", "embedder"], "misses": ["key"]}
+        keys = {"nodes": ["label", "key"], "edges": ["source", "rel", "src", "dst", "valid_from"], "state": ["path"], "vectors": ["key", "embedder"], "misses": ["id"]}
         self.store = Store(spark, folder, schemas, keys)
 
     # --- what is kept
@@ -184,6 +185,7 @@ class GraphSession:
         seen = self.store.seen()
         scratch = Scratch(self.spark, "community")
         nodes, edges = (scratch.write(x) for x in self._with_communities(self.store.load("nodes", seen["nodes"]), self.store.load("edges", seen["edges"])))
+        edges = mutations.held_edges(edges, nodes)
         vectors, _ = self._embedded(nodes, self.store.load("vectors", seen["vectors"]))
         self.store.save(seen, **self._fitted(nodes=nodes, edges=edges, vectors=vectors))
         return nodes.where("key like 'community:%'").count()
@@ -231,12 +233,9 @@ class GraphSession:
         """How far a search text is answered, and its candidates; what isn't answered with confidence is noted as a miss."""
         found = search.candidates(self.nodes, [text], k, labels)
         tier = search.confidence_tiers(found, self._terms(text).select(F.col("term").alias("query"))).first().asDict()
-        if not tier["hit"]:
-            old = self.store.load("misses").where(F.col("key") == text.strip().lower()).select("query", "tier", F.col("last_seen").alias("seen_at"), "n", "first_seen").first()
-            row = (text.strip().lower(), text, (old.n if old else 0) + 1, tier["tier"])
-            miss = self.spark.createDataFrame([row], "key string, query string, n long, tier string")
-            first = F.lit(old.first_seen if old else now).cast("timestamp")
-            self.store.add("misses", miss.withColumn("last_seen", F.lit(now).cast("timestamp")).withColumn("first_seen", first))
+        if not tier["hit"] and text.strip():
+            miss = self.spark.createDataFrame([(uuid.uuid4().hex, text, tier["tier"])], "id string, query string, tier string")
+            self.store.add("misses", miss.withColumn("seen_at", F.lit(now).cast("timestamp")))
         return tier, found.drop("query").orderBy(F.desc("score"), "label", "key")
 
     def search(self, text: str, k: int = 10, labels: tuple[str, ...] = ()) -> DataFrame:
@@ -277,6 +276,18 @@ class GraphSession:
         given = self.spark.createDataFrame([(rel, x.key, y.key, "semantic", author, confidence, why, commit)], "rel string, src string, dst string, source string, author string, confidence double, rationale string, commit_sha string")
         self.store.add("edges", ended.where(F.col("valid_from").isNull() | (F.col("valid_from") != start) | (F.col("rel") != rel)).unionByName(given.withColumn("valid_from", start), allowMissingColumns=True))
 
+    def curate(self, path: str, now: str, author: str = "curation") -> None:
+        """State all concepts and edges of a curation file."""
+        given = sources.curation(self.spark, path)
+        for row in given["concepts"].toLocalIterator():
+            self.add_concept(row.name, row.summary)
+        for row in given["edges"].toLocalIterator():
+            self.add_semantic(row.rel, row["from"], row.to, now, row.confidence, row.why, author)
+
+    def delete(self) -> None:
+        """Remove the graph with all its snapshots."""
+        self.store.delete()
+
     def add_concept(self, name: str, summary: str | None = None) -> str:
         """Add or describe a concept; its key. It can be searched for at once."""
         key = f"concept:{name}"
@@ -323,5 +334,5 @@ class GraphSession:
 
     def gaps(self, limit: int = 15, excludes: tuple[str, ...] = ()) -> dict[str, DataFrame]:
         """Lists of where meaning is missing: searches without an answer, types in the middle of things, communities without a name by hand."""
-        missed = self.store.load("misses").select("query", "n", "tier", "last_seen").orderBy(F.desc("n"), "query").limit(min(max(limit, 1), 200))
+        missed = mutations.miss_counts(self.store.load("misses")).orderBy(F.desc("n"), "key").limit(min(max(limit, 1), 200)).select("query", "n", "tier", "last_seen")
         return {"missed_queries": missed, "uncovered_hubs": graph.uncovered_hubs(self.nodes, self.edges, limit, excludes), "uncurated_communities": self.uncurated(excludes)}

@@ -94,3 +94,6 @@ class Store:
         for k in keys:
             same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
         return base.join(new, same, "left_anti").unionByName(added)
+
+    def delete(self) -> None:
+        self._system.delete(self._path(self.folder), True)

@@ -67,6 +67,21 @@ def source_types(spark, sf):
     return types.select("path", "label", "key", F.array_join("bases", ", ").alias("bases"))
 
 
+_DECLARED_SQL = r"""
+WITH files AS (SELECT doc_id, text FROM documents WHERE doc_type = 'source_file' AND text IS NOT NULL),
+found AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?m)^[ \t]*(?:(?:MODIFIERS)\s+)*(?:record\s+struct|record\s+class|class|interface|struct|enum|record)\s+[A-Za-z_]\w*')) AS decl FROM files),
+each AS (SELECT doc_id, regexp_extract(decl, '(record\s+struct|record\s+class|class|interface|struct|enum|record)\s+[A-Za-z_]\w*$', 1) AS kind, regexp_extract(decl, '[A-Za-z_]\w*$') AS name FROM found)
+SELECT doc_id, CASE WHEN contains(kind, 'struct') THEN 'Struct' WHEN kind = 'interface' THEN 'Interface' WHEN kind = 'enum' THEN 'Enum' ELSE 'Class' END AS label, name, count(*) AS n FROM each GROUP BY ALL""".replace("MODIFIERS", extraction._MODIFIERS)
+
+
+@_query(_DECLARED_SQL)
+def source_declarations(spark, sf):
+    """How often every source text declares a type of each name."""
+    files = _texts(spark, sf, "source_file").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    types = extraction.declared_types(files).select(F.col("path").cast("bigint").alias("doc_id"), "label", "name")
+    return types.groupBy("doc_id", "label", "name").agg(F.count("*").alias("n"))
+
+
 @_query()
 def source_methods(spark, sf):
     """The methods that every source text declares, by their keys."""
