@@ -63,7 +63,7 @@ def test_crowded_buckets_lose_no_pair(spark):
     rows = [(i, sorted({f"m{x}" for x in names} | {"everywhere"}), None, 1) for i, names in enumerate([random.Random(s).sample(range(12), 5) for s in range(80)])]
     held = Clusters(spark.createDataFrame(rows, SCHEMA), "community_id", "names")
     sets = {r.sid: set(r.members) for r in held.sets.collect()}
-    for levels in (module.LEVELS, module.LEVELS[:1], ((48, 2), (216, 4), (900, 6))):
+    for levels in (module.LEVELS, module.LEVELS[:1]):
         links = {tuple(r) for r in similar_sets(held.sets, Scratch(spark, "t"), levels=levels, bucket=2).collect()}
         assert links == {(a, b) for a, b in combinations(sorted(sets), 2) if 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])}
 
