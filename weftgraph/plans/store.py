@@ -46,7 +46,11 @@ class Store:
 
     def _folded(self, version: int) -> list[str]:
         """The additions that a snapshot holds."""
-        return json.loads(self.spark.read.text(f"{self.folder}/v{version:06d}/folded.json", wholetext=True).first().value)
+        read = self._system.open(self._path(f"{self.folder}/v{version:06d}/folded.json"))
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(read, "UTF-8"))
+        finally:
+            read.close()
 
     def _additions(self, table: str) -> list[str]:
         versions = self.versions()
