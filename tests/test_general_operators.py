@@ -15,6 +15,7 @@ from weftgraph.operators import hierarchies, numbering, snapshots
 from weftgraph.operators.hierarchies import Hierarchy, hierarchy, running_total
 from weftgraph.operators.history import attribute_history
 from weftgraph.operators.orphans import orphan_references, presence_intervals
+from weftgraph.plans.runtime import Scratch
 
 from .conftest import rows_of
 
@@ -222,12 +223,15 @@ def test_hierarchy_equals_brute_force(spark, monkeypatch, kind, segment):
             assert r.on_circle == any(n == c for c in _circle_nodes(links, n))
 
 
-def test_nodes_whose_hashes_meet_are_told_apart(spark, monkeypatch):
+def test_values_whose_hashes_meet_are_told_apart(spark, monkeypatch):
     """With hashes of a few bits at first, so that exceptions, and exceptions to them, are needed."""
     monkeypatch.setattr(numbering, "hashed", lambda value, seed: F.pmod(F.xxhash64(F.lit(seed), value), F.lit([90, 200, 400][seed] if seed < 3 else 2**62)))
-    links = tree_links("random")
-    found = {r.node: (r.root, r.depth, r.path) for r in hierarchy(spark.createDataFrame(links, "node string, parent string")).collect()}
-    assert found == brute_tree(links)
+    links = spark.createDataFrame(tree_links("random"), "node string, parent string")
+    numbers = numbering.Numbering(links.select(F.col("node").alias("value")).distinct(), Scratch(spark, "numbers"))
+    found = numbers.of(numbers.of(links, "node", "n"), "parent", "p").collect()
+    own = {r.node: r.n for r in found}
+    assert len(set(own.values())) == len(own) == 150
+    assert all(r.p == (own[r.parent] if r.parent else None) and r.n == own[r.node] for r in found)
 
 
 def test_a_chain_of_thousands(spark):
